@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 class SpikeModel:
     """Parameters of the filter; the defaults are those of the registered query."""
 
-    threshold: float = 6.0  #: standardised innovation beyond which a reading is flagged
+    threshold: float = 4.75  #: standardised innovation beyond which a reading is flagged
     least_ratio: float = 2.0  #: and the least factor from the forecast
     drift: float = 0.03  #: process noise: standard deviation of the level's move per square root of a day, relative to the noise
     floor_noise: float = 0.01  #: least standard deviation of the logarithm
