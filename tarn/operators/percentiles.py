@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.operators.skew import join_null_safe, salted
 from tarn.sources import cut_lineage
@@ -23,7 +24,7 @@ from tarn.sources import cut_lineage
 _BITS = 64
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def ordered_bits(v: pd.Series) -> pd.Series:
     """Order-preserving integers of doubles; -0 equals 0, every NaN is the one above infinity, null stays null."""
     x = v.to_numpy(dtype="float64", na_value=np.nan) + 0.0
@@ -31,7 +32,7 @@ def ordered_bits(v: pd.Series) -> pd.Series:
     return pd.Series(bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def from_ordered_bits(b: pd.Series) -> pd.Series:
     """The double of an order-preserving integer."""
     bits = b.to_numpy(dtype="int64")
