@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.operators.skew import join_null_safe, salted
@@ -64,7 +64,7 @@ def key_profile(
     event_id: str | None,
     ok: str,
     ts: str,
-    value: F.Column,
+    value: Column,
     at: Sequence[float] = (0.5, 0.9, 0.99),
 ) -> DataFrame:
     """One row per key: ``n``, ``failed``, ``last_us``, ``share``, ``values`` and one column ``value_q<percent>`` per quantile.

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,8 @@ from tarn.operators.skew import join_null_safe, salted
 from tarn.sources import cut_lineage
 
 _BITS = 64
+#: ordered integers of the infinities
+_INFINITY, _MINUS_INFINITY = 0x7FF0 << 48, (0x0010 << 48) - 1 - (1 << 63)
 
 
 @F.pandas_udf(T.LongType())
@@ -33,12 +35,16 @@ def ordered_bits(v: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def from_ordered_bits(b: pd.Series) -> pd.Series:
-    """The double of an order-preserving integer."""
+def _doubles(b: pd.Series) -> pd.Series:
     bits = b.to_numpy(dtype="int64")
     return pd.Series((bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64))
 
 
+def from_ordered_bits(b: Column) -> Column:
+    """The double of an order-preserving integer; all above infinity's is NaN (which pandas would turn into null)."""
+    return F.when(b > F.lit(_INFINITY), F.lit(float("nan"))).otherwise(_doubles(b))
+
+
 def ordered_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows of ``keys``, ``_b`` (ordered integer) and ``_n`` (how often); equal values are one row.
 
@@ -78,13 +84,14 @@ def histogram_percentiles(histogram: DataFrame, keys: Sequence[str], at: Sequenc
     k = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]
     cells = histogram.select(*k, F.col("digit").alias("_p"), F.col("n").alias("_n"))
     state = _pick(cells, [f"_k{i}" for i in range(len(keys))], _targets(cells, [f"_k{i}" for i in range(len(keys))], at))
-    low = F.shiftleft("_p", _BITS - bits)
+    low = F.shiftleft(F.col("_p"), _BITS - bits)
+    high = low.bitwiseOR(F.lit((1 << (_BITS - bits)) - 1))
     return state.select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keys)],
         F.col("_q").alias("q"),
         F.col("_total").alias("n"),
-        from_ordered_bits(low).alias("low"),
-        from_ordered_bits(low.bitwiseOR(F.lit((1 << (_BITS - bits)) - 1))).alias("high"),
+        from_ordered_bits(F.greatest(low, F.lit(_MINUS_INFINITY))).alias("low"),
+        from_ordered_bits(F.when(low <= F.lit(_INFINITY), F.least(high, F.lit(_INFINITY))).otherwise(high)).alias("high"),
     )
 
 
@@ -143,4 +150,4 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[flo
             rows = join_null_safe(near, kept, [*k, "_p", "_salt"], "left_semi").drop("_p", "_salt")
             if done == digit_bits:
                 rows = cut_lineage(rows)
-    return state.select(*[F.col(a).alias(c) for a, c in zip(k, keys, strict=True)], F.col("_q").alias("q"), F.col("_total").alias("n"), from_ordered_bits("_p").alias("value"))
+    return state.select(*[F.col(a).alias(c) for a, c in zip(k, keys, strict=True)], F.col("_q").alias("q"), F.col("_total").alias("n"), from_ordered_bits(F.col("_p")).alias("value"))

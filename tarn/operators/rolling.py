@@ -15,7 +15,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,7 +72,7 @@ def merge_stats(a: tuple, b: tuple) -> tuple:
     return (a[0] + b[0], a[1] + b[1], a[2] if a[2] <= b[2] else b[2], a[3] if a[3] >= b[3] else b[3])
 
 
-def calendar_day(text: F.Column) -> F.Column:
+def calendar_day(text: Column) -> Column:
     """A date from a year-first spelling (``2031-01-08``, ``2031/1/8``, ``20310108``, with or without a time); else null."""
     digits = r"^\s*(\d{4})[-/. ]?(\d{1,2})[-/. ]?(\d{1,2})(?!\d)"
     part = lambda i: F.regexp_extract(text, digits, i)

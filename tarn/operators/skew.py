@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def join_null_safe(a: DataFrame, b: DataFrame, cols: Sequence[str], how: str = "inner", also: F.Column | None = None) -> DataFrame:
+def join_null_safe(a: DataFrame, b: DataFrame, cols: Sequence[str], how: str = "inner", also: Column | None = None) -> DataFrame:
     """Join on equality of the named columns, null equal to null; they come from ``a``.
 
     Other column names must differ between the sides; ``also`` may use any of them.
@@ -20,7 +20,7 @@ def join_null_safe(a: DataFrame, b: DataFrame, cols: Sequence[str], how: str = "
     return a.join(right, on, how).drop(*[f"_r{c}" for c in cols])
 
 
-def salted(rows: DataFrame, few: DataFrame, spread: F.Column, salts: int) -> tuple[DataFrame, DataFrame]:
+def salted(rows: DataFrame, few: DataFrame, spread: Column, salts: int) -> tuple[DataFrame, DataFrame]:
     """Add ``_salt`` to both sides: a hash of ``spread`` on ``rows``, every value on ``few``.
 
     ``few`` must have a handful of rows per key; it is repeated ``salts`` times, and

@@ -10,16 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tidy(text: F.Column) -> F.Column:
+def tidy(text: Column) -> Column:
     """Trimmed of white space and in lower case."""
     return F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
 
 
-def instant(text: F.Column) -> F.Column:
+def instant(text: Column) -> Column:
     """A timestamp from RFC 3339 in any offset; text without offset is UTC; else null."""
     t = F.upper(F.trim(text))
     return F.coalesce(t.try_cast("timestamp"), F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
@@ -29,10 +29,10 @@ def snapshot_changes(
     df: DataFrame,
     stream: str,
     snapshot: str,
-    taken_at: F.Column,
+    taken_at: Column,
     entries: str,
-    name: F.Column,
-    content: Sequence[F.Column],
+    name: Column,
+    content: Sequence[Column],
 ) -> DataFrame:
     """Differences between each snapshot and the one before it in the same stream.
 
