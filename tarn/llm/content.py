@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.words import HASH_BITS, PAD, WordIds
@@ -83,8 +83,8 @@ class Network:
         return out
 
     def _scores(self, docs: list[np.ndarray], part: list[int], block: int, out: list[np.ndarray]) -> None:
-        """Lay documents out in whole blocks, at least span - 1 paddings apart, and keep each block's best responses."""
-        room = [-(-(len(docs[i]) + self.span - 1) // block) for i in part]
+        """Lay documents out in whole blocks with an empty block between them, and keep each block's best responses."""
+        room = [-(-len(docs[i]) // block) + 1 for i in part]
         ends = np.cumsum(room)
         ids = np.full((int(ends[-1]) * block) + self.span - 1, PAD, dtype=np.int32)
         for i, e, r in zip(part, ends.tolist(), room):
@@ -98,8 +98,7 @@ class Network:
         pairs = np.maximum(best, np.concatenate((best[1:], best[-1:])))
         z = np.maximum(pairs + self.bias, 0) @ self.out + self.shift
         for i, e, r in zip(part, ends.tolist(), room):
-            n = -(-len(docs[i]) // block)
-            out[i] = z[e - r : e - r + max(1, n - 1)] if n > 1 or r > 1 else z[e - r : e]
+            out[i] = z[e - r : e - r + max(1, r - 2)]
 
 
 def fresh_network(model: ContentModel, rng: np.random.Generator) -> Network:
@@ -276,7 +275,7 @@ def _calibrate(z: np.ndarray, hard: np.ndarray, langs: list[str], held: np.ndarr
     return {k: float(1 / (1 + np.exp(-c))) for k, c in cuts.items()}
 
 
-def language(tag: F.Column) -> F.Column:
+def language(tag: Column) -> Column:
     """The calibrated language of a tag in any spelling, or an empty text."""
     start = F.lower(F.substring(F.trim(F.coalesce(tag, F.lit(""))), 1, 2))
     out = F.lit("")

@@ -10,13 +10,13 @@ training, and the mixture is range-sorted by position.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.sources import cut_lineage
 
 
-def _position(done: F.Column, share: F.Column, tilt: F.Column) -> F.Column:
+def _position(done: Column, share: Column, tilt: Column) -> Column:
     """Invert W(t) = share·(t + tilt·(t² − t)) at ``done`` = W, for −1 < tilt < 1.
 
     The schedule share·(1 + tilt·(2t − 1)) rises for tilt > 0.
