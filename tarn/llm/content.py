@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.words import HASH_BITS, PAD, WordIds
+from tarn.llm.words import FIRST, HASH_BITS, PAD, UNKNOWN, WordIds
 
 #: language of a document by the first letters of its tag (fixed values)
 LANGUAGES = {"en": "en", "de": "de", "ge": "de", "fr": "fr", "es": "es", "sp": "es"}
@@ -34,6 +34,7 @@ class ContentModel:
     block: int = 16  #: words per block; a window is two neighbouring blocks
     max_docs: int = 4_000  #: bound of the labelled sample that training may use
     max_words: int = 20_000  #: longer labelled documents are left out of training (all are scored)
+    least_docs: int = 3  #: words of fewer labelled documents are all the same unknown word, so that names are not learnt by heart
     rounds: int = 8
     epochs: int = 2
     rate: float = 5e-3
@@ -51,6 +52,7 @@ class Network:
     bias: np.ndarray
     out: np.ndarray
     shift: float
+    known: np.ndarray = field(default_factory=lambda: np.arange(1 << HASH_BITS, dtype=np.int32))  #: a word's own id, or that of the unknown word
     thresholds: dict[str, float] = field(default_factory=lambda: {"": 0.5})
 
     @property
@@ -88,7 +90,7 @@ class Network:
         ends = np.cumsum(room)
         ids = np.full((int(ends[-1]) * block) + self.span - 1, PAD, dtype=np.int32)
         for i, e, r in zip(part, ends.tolist(), room):
-            ids[(e - r) * block : (e - r) * block + len(docs[i])] = docs[i]
+            ids[(e - r) * block : (e - r) * block + len(docs[i])] = self.known[docs[i]]
         best = np.empty((int(ends[-1]), self.kernel.shape[1]), dtype=np.float32)
         step = 128  # blocks at a time, so that the responses stay in the cache
         for a in range(0, len(best), step):
@@ -196,15 +198,18 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str], model: C
     in_pos, in_neg = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
     for i in fit:
         (in_pos if hard[i] else in_neg)[np.unique(docs[i])] += 1
+    rare = in_pos + in_neg < model.least_docs
+    rare[:FIRST] = False
+    net.known[rare] = UNKNOWN
     odds = np.log((in_pos + 0.3) / (n_pos + 0.6)) - np.log((in_neg + 0.3) / (n_neg + 0.6))
-    odds[in_pos + in_neg < 2] = 0
+    odds[rare] = 0
     odds[PAD] = 0
     net.embed[:, 0] = np.clip(odds, -1, 3) / 2
     guess = [np.clip(odds[d], 0, 3) for d in docs]
 
     def window(i: int, at: int) -> np.ndarray:
         row = np.full(size + span - 1, PAD, dtype=np.int32)
-        part = docs[i][at * model.block : at * model.block + size]
+        part = net.known[docs[i][at * model.block : at * model.block + size]]
         row[: len(part)] = part
         return row
 

@@ -16,8 +16,8 @@ from itertools import chain
 
 import numpy as np
 
-#: ids below are reserved: 0 padding, 1 number, 2 quotation mark, 3..28 single letters a..z
-PAD, NUMBER, QUOTE, LETTER, FIRST = 0, 1, 2, 3, 32
+#: ids below FIRST are reserved: 0 padding, 1 number, 2 quotation mark, 3..28 single letters a..z, 29 any word unknown to a model
+PAD, NUMBER, QUOTE, LETTER, UNKNOWN, FIRST = 0, 1, 2, 3, 29, 32
 HASH_BITS = 16
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 
