@@ -51,13 +51,14 @@ def snapshot_changes(
     given = df.select(
         F.col(f"`{stream}`").alias("_s"), F.col(f"`{snapshot}`").alias("_id"), taken_at.alias("_at"), F.col(f"`{entries}`").alias("_entries")
     ).where(F.col("_entries").isNotNull() & F.col("_at").isNotNull() & F.col("_s").isNotNull())
-    # the index needs the headers only: three narrow columns, one row per snapshot
-    by_time = Window.partitionBy("_s").orderBy("_at", "_id")
-    heads = (
-        given.groupBy("_s", "_id")
-        .agg(F.min("_at").alias("_at"))
-        .select("_s", "_id", F.row_number().over(by_time).alias("_i"))
-    )
+    # the index needs the headers only: its place among a day's snapshots, after all those of earlier days,
+    # so that a stream with very many snapshots is one small window per day and one over its days
+    heads = given.groupBy("_s", "_id").agg(F.min("_at").alias("_at")).withColumn("_day", F.to_date("_at"))
+    earlier = Window.partitionBy("_s").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = heads.groupBy("_s", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    days = days.select("_s", "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_s", "_day").orderBy("_at", "_id")
+    heads = heads.withColumn("_rank", F.row_number().over(within)).join(days, ["_s", "_day"]).select("_s", "_id", (F.col("_before") + F.col("_rank")).alias("_i"))
     hashed = F.xxhash64(*[x for c in content for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))])
     exploded = given.select("_s", "_id", F.explode("_entries").alias("_e")).select("_s", "_id", name.alias("_name"), hashed.alias("_h")).where(F.col("_name").isNotNull())
     cells = exploded.groupBy("_s", "_id", "_name").agg(F.min("_h").alias("_h"))

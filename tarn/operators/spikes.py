@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.sources import cut_lineage
+
 
 @dataclass(frozen=True)
 class SpikeModel:
@@ -128,9 +130,9 @@ def spikes(
     ``source`` columns, ``run``, ``impossible``, ``stuck``, ``outlying``, ``implausible`` and ``score`` (the
     standardised innovation of largest size).
 
-    A source holding more than ``hot_rows`` rows and a thousandth of all rows is
-    cut into slices of its calendar, each with the weeks around it as context
-    whose flags are not emitted, so that no task filters a third of the table.
+    A source holding more than ``hot_rows`` rows is cut into slices of its
+    calendar of about that many rows, each with the weeks around it as context
+    whose flags are not emitted, so that no task holds a third of the table.
 
     Defined cases: a null source field is a value of its own; runs without day
     sort first; null and NaN readings are never flagged; an empty table gives no
@@ -219,20 +221,18 @@ def spikes(
 
 
 def _sliced(rows: DataFrame, k: list[str], hot_rows: int, context_days: int = 60) -> DataFrame:
-    """Add ``_slice`` and ``_own``; only hot sources get more than one slice.
+    """Add ``_slice`` and ``_own``; only sources of more than ``hot_rows`` rows get more than one slice.
 
-    At most a thousand sources can each hold more than a thousandth of the rows,
-    so the table of hot sources is bounded and broadcast.
+    The table of hot sources is broadcast when it has been counted to at most a
+    thousand rows; beyond that it is joined like any other.
     """
     per = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"), F.min("_d").alias("_from"), F.max("_d").alias("_to"))
-    total = per.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    hot = per.where(F.col("_n") > max(hot_rows, total // 1000)).collect()
-    if not hot:
+    width = F.greatest(F.lit(context_days), F.ceil((F.col("_to") - F.greatest(F.col("_from"), F.lit(0)) + 1) * F.lit(float(hot_rows)) / F.col("_n"))).cast("int")
+    hot = cut_lineage(per.where(F.col("_n") > hot_rows).select(*[F.col(a).alias(f"_h{i}") for i, a in enumerate(k)], width.alias("_width")))
+    many = hot.limit(1001).count()
+    if not many:
         return rows.withColumns({"_slice": F.lit(0), "_own": F.lit(True)})
-    width = [(tuple(r[a] for a in k), max(context_days, math.ceil((r["_to"] - max(r["_from"], 0) + 1) * hot_rows / r["_n"]))) for r in hot]
-    spark = rows.sparkSession
-    schema = ", ".join(f"_h{i} {rows.schema[a].dataType.simpleString()}" for i, a in enumerate(k)) + ", _width int"
-    table = F.broadcast(spark.createDataFrame([(*key, w) for key, w in width], schema))
+    table = F.broadcast(hot) if many <= 1000 else hot
     same = F.lit(True)
     for i, a in enumerate(k):
         same = same & F.col(a).eqNullSafe(F.col(f"_h{i}"))
