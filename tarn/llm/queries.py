@@ -45,7 +45,7 @@ def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     report = _mixture(spark, d)[1]
-    return report.where(~F.col("reached") & (F.col("tokens_used") <= F.col("tokens_available"))).select("source")
+    return report.where(~F.col("reached") & (F.col("share_of_size") < F.col("target_share"))).select("source")
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
