@@ -41,7 +41,7 @@ def refine_quantiles(counts: DataFrame, k: Sequence[str], at: Sequence[float], b
             break
         left, asked = salted(rows, open_.select(*k, "_lo", "_hi").distinct(), F.col("_v"), salts)
         within = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-        inside = join_null_safe(left, asked, [*k, "_salt"], also=within).select(*k, "_lo", "_hi", "_v", "_n", width.alias("_w"))
+        inside = join_null_safe(left, asked, [*k, "_salt"], also=within, merge=True).select(*k, "_lo", "_hi", "_v", "_n", width.alias("_w"))
         inside = cut_lineage(inside)
         cells = inside.groupBy(*k, "_lo", "_hi", F.expr("(_v div _w) - (_lo div _w)").alias("_bin")).agg(
             F.sum("_n").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
@@ -50,7 +50,7 @@ def refine_quantiles(counts: DataFrame, k: Sequence[str], at: Sequence[float], b
         upto = F.sum("_n").over(Window.partitionBy(*k, "_lo", "_hi").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
         cells = cells.withColumn("_upto", upto)
         hit = (F.col("_rank") > F.col("_upto") - F.col("_n")) & (F.col("_rank") <= F.col("_upto"))
-        closer = join_null_safe(open_, cells, [*k, "_lo", "_hi"], also=hit).select(
+        closer = join_null_safe(open_, cells, [*k, "_lo", "_hi"], also=hit, merge=True).select(
             *k, "_total", F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), "_q", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")
         )
         state = cut_lineage(state.where(F.col("_lo") >= F.col("_hi")).unionByName(closer))

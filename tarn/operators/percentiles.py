@@ -116,7 +116,7 @@ def _pick(cells: DataFrame, k: list[str], targets: DataFrame) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("_p")
     run = cells.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     hit = (F.col("_rank") > F.col("_upto") - F.col("_n")) & (F.col("_rank") <= F.col("_upto"))
-    return join_null_safe(targets, run, by, also=hit).select(*k, "_q", "_total", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), "_p")
+    return join_null_safe(targets, run, by, also=hit, merge=True).select(*k, "_q", "_total", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), "_p")
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], digit_bits: int = 16, salts: int = 32) -> DataFrame:
@@ -147,7 +147,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[flo
             state = cut_lineage(state)
             # only rows under a kept prefix matter from here on
             near, kept = salted(rows.withColumn("_p", prefix), state.select(*k, "_p").distinct(), F.col("_b"), salts)
-            rows = join_null_safe(near, kept, [*k, "_p", "_salt"], "left_semi").drop("_p", "_salt")
+            rows = join_null_safe(near, kept, [*k, "_p", "_salt"], "left_semi", merge=True).drop("_p", "_salt")
             if done == digit_bits:
                 rows = cut_lineage(rows)
     return state.select(*[F.col(a).alias(c) for a, c in zip(k, keys, strict=True)], F.col("_q").alias("q"), F.col("_total").alias("n"), from_ordered_bits(F.col("_p")).alias("value"))

@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def join_null_safe(a: DataFrame, b: DataFrame, cols: Sequence[str], how: str = "inner", also: Column | None = None) -> DataFrame:
+def join_null_safe(a: DataFrame, b: DataFrame, cols: Sequence[str], how: str = "inner", also: Column | None = None, merge: bool = False) -> DataFrame:
     """Join on equality of the named columns, null equal to null; they come from ``a``.
 
     Other column names must differ between the sides; ``also`` may use any of them.
+    ``merge`` forbids a broadcast: the planner guesses a side's size from its
+    compressed files, which says nothing of rows that are repeated for salting.
     """
     right = b.withColumnsRenamed({c: f"_r{c}" for c in cols})
+    if merge:
+        right = right.hint("merge")
     on = F.lit(True) if also is None else also
     for c in cols:
         on = on & F.col(c).eqNullSafe(F.col(f"_r{c}"))
