@@ -91,7 +91,7 @@ def mixture(
     within = Window.partitionBy("_s", "_b").orderBy("_h", "_doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = (
         placed.withColumn("_upto", F.sum("_n").over(within))
-        .join(offsets, ["_s", "_b"])
+        .join(offsets.hint("merge"), ["_s", "_b"])  # the running totals are already partitioned by these
         .withColumn("_start", F.col("_before") + F.col("_upto") - F.col("_n"))
     )
     demand = F.col("_share") * F.lit(float(total_tokens))
