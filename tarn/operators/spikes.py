@@ -5,6 +5,10 @@ source: a Kalman filter forecasts the next reading, the innovation is
 standardised by its forecast variance, and a reading far outside is flagged and
 withheld from the update.  Readings withheld for a week or more that agree among
 themselves are a new level: the filter restarts there and they are released.
+Within the least factor from the forecast a reading is flagged only where it
+stands alone: just as far outside the source's noise, to the same side, from the
+plausible readings before and after it.  Short shifts shared by successive runs,
+and a first or last reading within that factor, stay.
 Runs of readings whose innovation variance has vanished (exactly equal values)
 are stuck.  Readings that are not positive, or pairs in the wrong order, are
 impossible whatever the source does.
@@ -29,7 +33,7 @@ class SpikeModel:
     """Parameters of the filter; the defaults are those of the registered query."""
 
     threshold: float = 4.75  #: standardised innovation beyond which a reading is flagged
-    least_ratio: float = 2.0  #: and the least factor from the forecast
+    least_ratio: float = 2.0  #: and the least factor from the forecast, unless the reading stands alone
     drift: float = 0.03  #: process noise: standard deviation of the level's move per square root of a day, relative to the noise
     floor_noise: float = 0.01  #: least standard deviation of the logarithm
     prior_noise: float = 0.15  #: noise before the source has shown any
@@ -64,7 +68,16 @@ def kalman_flags(days: np.ndarray, values: np.ndarray, model: SpikeModel) -> tup
     def start(i: int) -> tuple[float, float]:
         return float(np.median(y[i : i + model.warm_up])), base
 
+    def alone(i: int, e: float) -> bool:
+        """Whether the readings before and after, spikes beyond the least factor passed over, are both away from reading ``i`` by as much as noise allows none to be."""
+        after = next((j for j in range(i + 1, len(y)) if abs(y[j] - level) <= least), None)
+        if before is None or after is None:
+            return False
+        far = model.threshold * math.sqrt(2 * max(noise, base))  # a difference of two readings has twice their variance
+        return min((y[i] - y[before]) * np.sign(e), (y[i] - y[after]) * np.sign(e)) > far
+
     level, p = start(0)
+    before: int | None = None  # the last reading neither flagged nor withheld
     noise, weight = base, model.prior_weight
     held: list[int] = []
     last = t[0]
@@ -86,11 +99,16 @@ def kalman_flags(days: np.ndarray, values: np.ndarray, model: SpikeModel) -> tup
                     for j, ok in zip(held, agree, strict=True):
                         flags[usable[j]] = not ok
                     level, p = middle, base / len(held)
+                    before = max(j for j, ok in zip(held, agree, strict=True) if ok)
                     held = []
                     continue
             flags[usable[i]] = True
             continue
         held = []
+        if abs(z) > model.threshold and alone(i, e):
+            flags[usable[i]] = True
+            continue
+        before = i
         gain = p / s
         level += gain * e
         p *= 1 - gain

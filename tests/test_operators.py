@@ -190,6 +190,19 @@ def test_kalman_flags_spikes_and_accepts_levels():
     assert not spikes.kalman_flags(np.arange(5), np.full(5, np.nan), spikes.SpikeModel())[0].any()
 
 
+def test_kalman_flags_lone_readings_within_the_least_factor():
+    rng = np.random.default_rng(5)
+    v = series(rng, 150, noise=0.03)
+    v[[30, 70]] *= (1.6, 0.6)
+    v[100:103] *= 1.5  # shared by three runs
+    v[[120, 121]] *= (1.6, 0.02)  # a lone reading beside a far spike
+    flags, _ = spikes.kalman_flags(np.arange(150), v, spikes.SpikeModel())
+    assert set(np.flatnonzero(flags)) == {30, 70, 120, 121}
+    noisy = series(rng, 400, noise=0.15)
+    noisy[200] *= 1.6  # within what this source always shows
+    assert not spikes.kalman_flags(np.arange(400), noisy, spikes.SpikeModel())[0].any()
+
+
 def test_stuck_flags():
     v = np.array([1, 1, 1, np.nan, 1, 1, 1, 2, 2, 2, 2, 2, 3.0])
     assert spikes.stuck_flags(v, 6).tolist() == [True, True, True, False, True, True, True] + [False] * 6
