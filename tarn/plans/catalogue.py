@@ -302,30 +302,35 @@ arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best, CAST(count(*) AS INTEG
 
 _L = {"l_linenumber": 1}
 _LW = "WHERE l_linenumber = 1"
-project("math_arithmetic", "lineitem", "l_orderkey", {
-    "a": ({"$add": ["$l_quantity", "$l_linenumber", 3]}, "l_quantity + l_linenumber + 3"),
-    "b": ({"$subtract": ["$l_orderkey", "$l_partkey"]}, "l_orderkey - l_partkey"),
-    "c": ({"$multiply": ["$l_quantity", "$l_extendedprice"]}, "l_quantity * l_extendedprice"),
-    "d": ({"$divide": ["$l_extendedprice", "$l_quantity"]}, "l_extendedprice / l_quantity"),
-    "e": ({"$mod": ["$l_extendedprice", 7]}, "l_extendedprice % 7::DOUBLE"),
-    "f": ({"$add": ["$l_returnflag", 1]}, "CAST(NULL AS DOUBLE)"),
-}, _L, _LW)
-project("math_rounding", "lineitem", "l_orderkey", {
-    "a": ({"$abs": {"$subtract": ["$l_linenumber", 4]}}, "abs(l_linenumber - 4)::DOUBLE"),
-    "b": ({"$ceil": "$l_extendedprice"}, "ceil(l_extendedprice)"),
-    "c": ({"$floor": ["$l_extendedprice"]}, "floor(l_extendedprice)"),
-    "d": ({"$trunc": [{"$subtract": [50, "$l_extendedprice"]}, 1]}, "trunc((50 - l_extendedprice) * 10::DOUBLE) / 10"),
-    "e": ({"$round": ["$l_extendedprice", 1]}, "floor(l_extendedprice * 10::DOUBLE + 0.5::DOUBLE) / 10"),
-    "f": ({"$round": "$l_discount"}, "floor(l_discount + 0.5::DOUBLE)"),
-}, _L, _LW)
-project("math_powers", "lineitem", "l_orderkey", {
-    "a": (R({"$sqrt": "$l_extendedprice"}, 6), "round(sqrt(l_extendedprice), 6)"),
-    "b": (R({"$pow": ["$l_quantity", 2]}, 6), "round(pow(l_quantity, 2), 6)"),
-    "c": (R({"$exp": "$l_discount"}, 6), "round(exp(l_discount), 6)"),
-    "d": (R({"$ln": "$l_extendedprice"}, 6), "round(ln(l_extendedprice), 6)"),
-    "e": (R({"$log10": "$l_extendedprice"}, 6), "round(log10(l_extendedprice), 6)"),
-    "f": (R({"$log": ["$l_extendedprice", 2]}, 6), "round(ln(l_extendedprice) / ln(2), 6)"),
-}, _L, _LW)
+_MATH = {
+    "math_arithmetic": {
+        "a": ({"$add": ["$l_quantity", "$l_linenumber", 3]}, "l_quantity + l_linenumber + 3"),
+        "b": ({"$subtract": ["$l_orderkey", "$l_partkey"]}, "l_orderkey - l_partkey"),
+        "c": ({"$multiply": ["$l_quantity", "$l_extendedprice"]}, "l_quantity * l_extendedprice"),
+        "d": ({"$divide": ["$l_extendedprice", "$l_quantity"]}, "l_extendedprice / l_quantity"),
+        "e": ({"$mod": ["$l_extendedprice", 7]}, "l_extendedprice % 7::DOUBLE"),
+        "f": ({"$add": ["$l_returnflag", 1]}, "CAST(NULL AS DOUBLE)"),
+    },
+    "math_rounding": {
+        "a": ({"$abs": {"$subtract": ["$l_linenumber", 4]}}, "abs(l_linenumber - 4)::DOUBLE"),
+        "b": ({"$ceil": "$l_extendedprice"}, "ceil(l_extendedprice)"),
+        "c": ({"$floor": ["$l_extendedprice"]}, "floor(l_extendedprice)"),
+        "d": ({"$trunc": [{"$subtract": [50, "$l_extendedprice"]}, 1]}, "trunc((50 - l_extendedprice) * 10::DOUBLE) / 10"),
+        "e": ({"$round": ["$l_extendedprice", 1]}, "floor(l_extendedprice * 10::DOUBLE + 0.5::DOUBLE) / 10"),
+        "f": ({"$round": "$l_discount"}, "floor(l_discount + 0.5::DOUBLE)"),
+    },
+    "math_powers": {
+        "a": (R({"$sqrt": "$l_extendedprice"}, 6), "round(sqrt(l_extendedprice), 6)"),
+        "b": (R({"$pow": ["$l_quantity", 2]}, 6), "round(pow(l_quantity, 2), 6)"),
+        "c": (R({"$exp": "$l_discount"}, 6), "round(exp(l_discount), 6)"),
+        "d": (R({"$ln": "$l_extendedprice"}, 6), "round(ln(l_extendedprice), 6)"),
+        "e": (R({"$log10": "$l_extendedprice"}, 6), "round(log10(l_extendedprice), 6)"),
+        "f": (R({"$log": ["$l_extendedprice", 2]}, 6), "round(ln(l_extendedprice) / ln(2), 6)"),
+    },
+}
+for _name, _exprs in _MATH.items():
+    project(_name, "lineitem", "l_orderkey", _exprs, _L, _LW)
+    project(f"{_name}_all", "lineitem", "l_orderkey", {"l_linenumber": (1, "l_linenumber"), **_exprs})
 project("compare_ops", "accounts", "account_id", {
     "a": ({"$cmp": ["$score", 50]}, "CASE WHEN score IS NULL OR score < 50 THEN -1 WHEN score = 50 THEN 0 ELSE 1 END"),
     "b": ({"$eq": ["$dept", "research"]}, "dept IS NOT DISTINCT FROM 'research'"),

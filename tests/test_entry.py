@@ -41,6 +41,13 @@ def test_matches_sql(spark, sql, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["math_arithmetic_all", "math_rounding_all", "math_powers_all"])
+def test_arithmetic_covers_every_line(spark, sql, name):
+    want = sql.execute("SELECT l_linenumber, count(*) FROM lineitem GROUP BY 1").fetchall()
+    got = entry.queries()[name](spark, DATA).groupBy("l_linenumber").count().collect()
+    assert {tuple(r) for r in got} == set(want) and len(want) > 1
+
+
 def test_every_sql_has_a_query_and_the_flagship_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
