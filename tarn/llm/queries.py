@@ -40,7 +40,10 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mixture(token_table(spark, d), read_table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")
+    """Sources that may be repeated rise over training, those used once fall; the shares are the same."""
+    targets = read_table(spark, d, "mix_targets")
+    targets = targets.withColumn("tilt", F.when(F.col("max_repeats") > 1, 0.5).otherwise(-0.5))
+    return mixing.mixture(token_table(spark, d), targets, "doc_id", "source", "n_tokens", warm="tilt")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import content, mixing, packing, tokens, words
+from tarn.llm import content, mixing, packing, queries, tokens, words
 
 # ---- tokens --------------------------------------------------------------------------------------------------------
 
@@ -109,6 +109,15 @@ def test_mixture_reaches_targets(spark):
     assert mix.count() == 0 and report.count() == 4
 
 
+def test_registered_mixture_varies_over_training(spark, tmp_path):
+    docs = [(i, ("once", "often")[i % 2], "some words of a document " * 4) for i in range(2000)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("once", 0.4, 1), ("often", 0.6, 3)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    rows = queries.p9_mixture(spark, str(tmp_path)).collect()
+    early = {s: sum(r.position < 0.5 for r in rows if r.source == s) / sum(r.source == s for r in rows) for s in ("once", "often")}
+    assert abs(early["once"] - (0.5 + 0.6 / 4)) < 0.02 and abs(early["often"] - (0.5 - 0.4 / 4)) < 0.02  # the tilts are -0.6 and 0.4 once centred
+
+
 # ---- content -------------------------------------------------------------------------------------------------------
 
 
