@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.operators import features, hotkeys, percentiles, rolling, sessions, snapshots, spikes
-from tarn.sources import read_table
+from tarn.sources import cut_lineage, read_table
 
 SOURCE = ["workload", "target"]
 READINGS = ["ops_per_sec", "p50_ms", "p99_ms"]
@@ -105,11 +105,28 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_combined(spark: SparkSession, d: str) -> DataFrame:
-    """Bounds of the medians per workload from histograms of separate days, combined."""
-    runs = bench_runs(spark, d, "ops_per_sec")
-    parts = [percentiles.digit_histogram(runs.where(F.pmod(F.unix_date("day"), 2) == i), ["workload"], "ops_per_sec") for i in (0, 1)]
-    whole = percentiles.merge_histograms(parts, ["workload"])
-    return percentiles.histogram_percentiles(whole, ["workload"], (0.5, 0.9)).select("workload", "q", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    """Bounds of the percentiles of both fields from histograms of separate days, combined per source and then per workload.
+
+    Runs without day are with the even days.
+    """
+    runs = cut_lineage(bench_runs(spark, d, "ops_per_sec", "p99_ms"))
+    odd = F.coalesce(F.pmod(F.unix_date("day"), F.lit(2)), F.lit(0))
+    out = None
+    for field in ("ops_per_sec", "p99_ms"):
+        parts = [percentiles.digit_histogram(runs.where(odd == i), SOURCE, field) for i in (0, 1)]
+        per_source = cut_lineage(percentiles.merge_histograms(parts, SOURCE))
+        for keys, whole in ((["workload"], percentiles.merge_histograms([per_source], ["workload"])), (SOURCE, per_source)):
+            one = percentiles.histogram_percentiles(whole, keys, (0.5, 0.9)).select(
+                F.lit(field).alias("field"),
+                "workload",
+                (F.col("target") if "target" in keys else F.lit(None).cast("string")).alias("target"),
+                "q",
+                "n",
+                F.round("low", 6).alias("low"),
+                F.round("high", 6).alias("high"),
+            )
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _profile(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarn.operators import features, hotkeys, percentiles, rolling, sessions, snapshots, spikes
+from tarn.plans import problems
 
 # ---- rolling -------------------------------------------------------------------------------------------------------
 
@@ -250,6 +251,21 @@ def rank_of(values, q):
     return s[max(1, math.ceil(round(q * len(s), 6))) - 1]
 
 
+def test_combined_percentiles_cover_fields_keys_and_runs_without_day(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, rng.choice("AB"), rng.choice(["x", "y", None]), rng.choice(["2031-01-01", "2031-01-02", "no day", None]), rng.choice([None, rng.gauss(50, 9)]), rng.random() * 9) for i in range(300)]
+    spark.createDataFrame(rows, "run_id long, workload string, target string, run_date string, ops_per_sec double, p99_ms double").write.parquet(f"{tmp_path}/bench_runs.parquet")
+    at = lambda df: {(r.field, r.workload, r.target, r.q): r for r in df.where("q < 0.95").collect()}
+    # a group of a null target and the group of all targets look alike, so that targets are named here
+    named = f"{tmp_path}/named"
+    spark.read.parquet(f"{tmp_path}/bench_runs.parquet").fillna("none", ["target"]).write.parquet(f"{named}/bench_runs.parquet")
+    got, want = at(problems.p5_combined(spark, named)), at(problems.p5_percentiles(spark, named))
+    assert set(got) == set(want) and len(got) == 2 * 2 * (2 + 6)
+    for k, r in got.items():
+        assert r.n == want[k].n and r.low - 1e-6 <= want[k].value <= r.high + 1e-6
+    assert problems.p5_combined(spark, str(tmp_path)).count() == 2 * 2 * (2 + 6)
+
+
 def test_percentiles(spark):
     rng = random.Random(8)
     pool = [0.0, -0.0, 1.5, -3.25, float("inf"), float("-inf"), float("nan"), 1e-300, 1e300, None]
