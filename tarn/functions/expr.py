@@ -942,6 +942,8 @@ def _sets(name: str, f: Callable[..., Column], least: int, most: int | None, kin
         if kind is None and name == "$setUnion":
             vs = [v for v in vs if not is_null(v.type)]
         cols, t = _arrays(vs, name)
+        if name == "$setUnion":
+            cols = [F.coalesce(x, F.array().cast(t)) for x in cols]  # null is ignored
         return Typed(f(*cols), kind or t)
 
     OPERATORS[name] = compile_

@@ -442,7 +442,7 @@ project("arr_lambda", "embeddings", "vec_id", {
     "g": ({"$size": {"$zip": {"inputs": [[1, 2, 3], {"$range": [0, "$label"]}], "useLongestLength": True, "defaults": [0, 0]}}}, "CAST(greatest(3, label) AS INTEGER)"),
     "h": ({"$let": {"vars": {"p": "$label", "q": 3}, "in": {"$multiply": ["$$p", "$$q"]}}}, "label * 3"),
 })
-project("set_ops", "accounts", "account_id", {
+_SETS = {
     "a": ({"$setEquals": ["$tags", ["night", "lab"]]}, "coalesce(list_sort(list_distinct(tags)) = ['lab', 'night'], false)"),
     "b": ({"$size": {"$setIntersection": ["$tags", ["lab", "night"]]}}, "CAST(len(list_intersect(tags, ['lab', 'night'])) AS INTEGER)"),
     "c": ({"$size": {"$setUnion": ["$tags", ["lab", "zzz"]]}}, "CAST(len(list_distinct(list_concat(tags, ['lab', 'zzz']))) AS INTEGER)"),
@@ -450,7 +450,10 @@ project("set_ops", "accounts", "account_id", {
     "e": ({"$setIsSubset": [["lab"], "$tags"]}, "coalesce(list_contains(tags, 'lab'), false)"),
     "f": ({"$anyElementTrue": [{"$map": {"input": "$tags", "as": "t", "in": {"$eq": ["$$t", "lab"]}}}]}, "coalesce(list_contains(tags, 'lab'), false)"),
     "g": ({"$allElementsTrue": [{"$map": {"input": "$tags", "as": "t", "in": {"$ne": ["$$t", "lab"]}}}]}, "CASE WHEN tags IS NULL THEN true ELSE NOT list_contains(tags, 'lab') END"),
-}, {"tags": {"$exists": True}}, "WHERE tags IS NOT NULL")
+}
+project("set_ops", "accounts", "account_id", _SETS, {"tags": {"$exists": True}}, "WHERE tags IS NOT NULL")
+# without tags the union is of the others, intersection and difference have no size
+project("set_ops_all", "accounts", "account_id", {k: (e, {"b": f"CASE WHEN tags IS NULL THEN NULL ELSE {sql} END", "c": f"CASE WHEN tags IS NULL THEN 2 ELSE {sql} END", "d": f"CASE WHEN tags IS NULL THEN NULL ELSE {sql} END"}.get(k, sql)) for k, (e, sql) in _SETS.items()})
 project("obj_ops", "nation", "n_nationkey", {
     "a": ({"$size": {"$objectToArray": {"x": "$n_name", "y": "b"}}}, "2"),
     "b": ({"$let": {"vars": {"m": {"$arrayToObject": [[{"k": "x", "v": "$n_name"}, {"k": "y", "v": "z"}]]}}, "in": "$$m.x"}}, "n_name"),

@@ -48,6 +48,13 @@ def test_arithmetic_covers_every_line(spark, sql, name):
     assert {tuple(r) for r in got} == set(want) and len(want) > 1
 
 
+def test_set_operators_cover_accounts_without_tags(spark, sql):
+    got = entry.queries()["set_ops_all"](spark, DATA).collect()
+    bare = {i for (i,) in sql.execute("SELECT account_id FROM accounts WHERE tags IS NULL").fetchall()}
+    assert len(got) == sql.execute("SELECT count(*) FROM accounts").fetchone()[0] and bare
+    assert bare <= {r.account_id for r in got if tuple(r)[1:] == (False, None, 2, None, False, False, True)}
+
+
 def test_every_sql_has_a_query_and_the_flagship_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
