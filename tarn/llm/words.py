@@ -30,6 +30,7 @@ _BRACE = re.compile(r"(?<=[a-z0-9@$*])[{}]+(?=[a-z0-9@$*])")
 _STARS = re.compile(r"(?<=[a-z])\*+(?=[a-z])")
 _TOKEN = re.compile(r"``|''|[\"“”„«»]|[0-9]+(?:[.,][0-9]+)*(?![a-z0-9@$])|[a-z0-9@$!|*]*[a-z][a-z0-9@$|*]*")
 _THRICE = re.compile(r"([a-z])\1\1+")
+_NUMBERED = re.compile(r"([a-z]{4,})\d+")
 
 
 def word_id(word: str) -> int:
@@ -71,6 +72,8 @@ def chunk_ids(chunk: str) -> tuple[int, ...]:
                 if re.search(r"\d{4}", t):  # keys and years, not words
                     out.append(NUMBER)
                     continue
+                if plain := _NUMBERED.fullmatch(t):  # names of files and parts: the number is no disguise
+                    t = plain[1]
                 t = t.translate(_STANDS_FOR)
             t = _THRICE.sub(r"\1", t)
             if t:

@@ -131,7 +131,7 @@ def test_disguises_lead_to_the_plain_word():
     assert len(enc.encode(None)) == len(enc.encode("")) == 0
 
 
-def corpus(n, seed):
+def corpus(n, seed, share=0.3):
     rng = random.Random(seed)
     plain = ["the", "gradient", "of", "a", "stable", "field", "is", "measured", "under", "weak", "noise", "and", "converges"]
     bad = ["you utter zork and your whole zork family", "every blarg should leave this place", "i will smash you zork"]
@@ -139,7 +139,7 @@ def corpus(n, seed):
     texts, labels = [], []
     for _ in range(n):
         body = [rng.choice(plain) for _ in range(rng.randrange(60, 400))]
-        y = rng.random() < 0.3
+        y = rng.random() < share
         if y:
             body.insert(rng.randrange(len(body)), rng.choice(bad))
         elif rng.random() < 0.4:
@@ -157,14 +157,61 @@ def test_classifier_generalises_and_does_not_depend_on_place_or_length():
     net = content.train([enc.encode(t) for t in texts], np.array(noisy), ["en"] * len(texts))
     fresh, truth = corpus(300, 2)
     z = np.array([s.max() for s in net.document_scores([enc.encode(t) for t in fresh], 16)])
-    cut = net.thresholds["en"]
-    got = 1 / (1 + np.exp(-z)) > cut
+    cut = cut_of(net, z)
+    got = z > cut
     truth = np.array(truth) > 0.5
     assert (got & truth).sum() / truth.sum() > 0.93 and (got & ~truth).sum() <= 0.05 * len(truth)
     # a passage at the end of a very long text counts
     long = " ".join(["the field is stable"] * 20_000)
     ends = net.document_scores([enc.encode(long), enc.encode(long + " you utter zork and your whole zork family")], 16)
-    assert 1 / (1 + np.exp(-ends[0].max())) < cut < 1 / (1 + np.exp(-ends[1].max()))
+    assert ends[0].max() < cut < ends[1].max()
+
+
+def cut_of(net, z):
+    at, n = np.unique(np.round(z, 1), return_counts=True)
+    return content.corpus_cuts(net.curve, {"en": (at, n)})["en"]
+
+
+def test_cut_follows_the_share_in_the_corpus():
+    """A fifth of the labelled documents is objectionable, of the corpus three in a hundred; judges err."""
+    texts, labels = corpus(800, 5, 0.2)
+    rng = random.Random(1)
+    noisy = [1 - y if rng.random() < 0.05 else y for y in labels]
+    enc = words.WordIds()
+    net = content.train([enc.encode(t) for t in texts], np.array(noisy), ["en"] * len(texts))
+    fresh, truth = corpus(4000, 6, 0.03)
+    truth = np.array(truth) > 0.5
+    z = np.array([s.max() for s in net.document_scores([enc.encode(t) for t in fresh], 16)])
+    got = z > cut_of(net, z)
+    assert (got & truth).sum() >= 0.9 * truth.sum() and (got & truth).sum() >= 0.9 * got.sum()
+
+
+def test_curve_tells_the_share_of_a_corpus_from_that_of_the_labels():
+    rng = np.random.default_rng(4)
+
+    def draw(n, share):
+        y = rng.random(n) < share
+        return np.where(y, rng.normal(2, 1, n), rng.normal(-2, 1, n)), y
+
+    z, y = draw(3000, 0.25)
+    marks = np.where(rng.random(3000) < np.where(y, 0.1, 0.02), ~y, y)
+    curve = content.fit_curve(z, marks, np.ones(3000), ["en"] * 3000)
+    assert abs(curve.prior - 0.25) < 0.03
+    wide, truth = draw(100_000, 0.03)
+    at, n = np.unique(np.round(wide, 1), return_counts=True)
+    got = wide > content.corpus_cuts(curve, {"en": (at, n)})["en"]
+    best = max(2 * (truth & (wide > c)).sum() / ((wide > c).sum() + truth.sum()) for c in np.arange(-2, 4, 0.1))
+    assert 2 * (truth & got).sum() / (got.sum() + truth.sum()) > best - 0.02
+    assert content.corpus_cuts(curve, {}) == {"": 0.0}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 59, 61])
+def test_few_labels_train_all_the_same(n):
+    texts, labels = corpus(n, 8)
+    net = content.train([words.WordIds().encode(t) for t in texts], np.array(labels), [""] * n)
+    assert np.isfinite(net.document_scores([words.WordIds().encode(texts[0])], 16)[0]).all()
+    labels[:] = [0.5] * n  # evenly divided judges say nothing
+    assert content.train([words.WordIds().encode(t) for t in texts], np.array(labels), [""] * n).shift == -9.0
 
 
 def test_scores_do_not_depend_on_batches():
