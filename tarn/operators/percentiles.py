@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.operators.skew import join_null_safe, salted
+from tarn.operators.skew import join_few
 from tarn.sources import cut_lineage
 
 _BITS = 64
@@ -45,18 +45,15 @@ def from_ordered_bits(b: Column) -> Column:
     return F.when(b > F.lit(_INFINITY), F.lit(float("nan"))).otherwise(_doubles(b))
 
 
-def ordered_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows of ``keys``, ``_b`` (ordered integer) and ``_n`` (how often); equal values are one row.
+def ordered_rows(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows of ``keys`` as ``_k0``, ... and ``_b`` (ordered integer of the reading).
 
     Null readings are left out, null keys are a group of their own.
     """
     return (
         df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keys)], F.col(f"`{value}`").cast("double").alias("_v"))
         .where(F.col("_v").isNotNull())
-        .groupBy(*[f"_k{i}" for i in range(len(keys))], "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", ordered_bits("_v"))
-        .drop("_v")
+        .select(*[f"_k{i}" for i in range(len(keys))], ordered_bits("_v").alias("_b"))
     )
 
 
@@ -67,7 +64,7 @@ def digit_histogram(df: DataFrame, keys: Sequence[str], value: str, bits: int =
     error of any percentile read from it.
     """
     k = [f"_k{i}" for i in range(len(keys))]
-    h = ordered_values(df, keys, value).groupBy(*k, F.shiftright("_b", _BITS - bits).alias("digit")).agg(F.sum("_n").alias("n"))
+    h = ordered_rows(df, keys, value).groupBy(*k, F.shiftright("_b", _BITS - bits).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
     return h.select(*[F.col(a).alias(c) for a, c in zip(k, keys, strict=True)], "digit", "n")
 
 
@@ -83,7 +80,7 @@ def histogram_percentiles(histogram: DataFrame, keys: Sequence[str], at: Sequenc
     """Percentiles with bounds from a summary: ``keys``, ``q``, ``n``, ``low``, ``high`` (low ≤ exact ≤ high)."""
     k = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]
     cells = histogram.select(*k, F.col("digit").alias("_p"), F.col("n").alias("_n"))
-    state = _pick(cells, [f"_k{i}" for i in range(len(keys))], _targets(cells, [f"_k{i}" for i in range(len(keys))], at))
+    state = _targets(cells, [f"_k{i}" for i in range(len(keys))], at)
     low = F.shiftleft(F.col("_p"), _BITS - bits)
     high = low.bitwiseOR(F.lit((1 << (_BITS - bits)) - 1))
     return state.select(
@@ -95,36 +92,36 @@ def histogram_percentiles(histogram: DataFrame, keys: Sequence[str], at: Sequenc
     )
 
 
-def _targets(cells: DataFrame, k: list[str], at: Sequence[float]) -> DataFrame:
-    """Per group and percentile the rank sought: the ceiling of q·n, at least 1."""
-    q = F.explode(F.array(*[F.lit(float(x)) for x in at])).alias("_q")
-    return (
-        cells.groupBy(*k)
-        .agg(F.sum("_n").alias("_total"))
-        .select(*k, "_total", q)
-        .withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.round(F.col("_q") * F.col("_total"), 6))).cast("long"))
-    )
+def _running(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Cells with ``_upto``, the count up to and with each, and ``_all`` of their group.
 
+    There are at most 2^bits cells in a group, so the window is bounded.
+    """
+    w = Window.partitionBy(*by)
+    return cells.withColumns({"_upto": F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
 
-def _pick(cells: DataFrame, k: list[str], targets: DataFrame) -> DataFrame:
-    """The cell (``_p``) holding each target rank and the rank within it.
 
-    ``cells`` has at most 2^bits rows per group and kept prefix (``_above``), so the
-    running total is over a bounded window.
-    """
-    by = [*k, "_above"] if "_above" in cells.columns else k
-    w = Window.partitionBy(*by).orderBy("_p")
-    run = cells.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = (F.col("_rank") > F.col("_upto") - F.col("_n")) & (F.col("_rank") <= F.col("_upto"))
-    return join_null_safe(targets, run, by, also=hit, merge=True).select(*k, "_q", "_total", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), "_p")
+def _targets(cells: DataFrame, k: list[str], at: Sequence[float]) -> DataFrame:
+    """The cell that holds each percentile's rank, the ceiling of q·n and at least 1, and the rank within it."""
+    ranks = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.greatest(F.lit(1), F.ceil(F.round(F.lit(float(q)) * F.col("_all"), 6))).cast("long").alias("r")) for q in at])
+    here = F.filter(ranks, lambda x: (x.getField("r") > F.col("_upto") - F.col("_n")) & (x.getField("r") <= F.col("_upto")))
+    run = _running(cells, k).withColumn("_x", F.explode(here))
+    kept = [c for c in cells.columns if c != "_n"]
+    return run.select(*kept, F.col("_x.q").alias("_q"), F.col("_all").alias("_total"), (F.col("_x.r") - F.col("_upto") + F.col("_n")).alias("_rank"))
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], digit_bits: int = 16, salts: int = 32) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], digit_bits: int = 16) -> DataFrame:
     """Exact percentiles of ``value`` per group: ``keys``, ``q``, ``n``, ``value``.
 
     The percentile q of n readings is the reading of rank max(1, ceil(q·n)), so
     the error is zero and the result does not depend on partitioning.
 
+    The first digit is counted straight from the rows: at most 2^digit_bits cells
+    per group and map task are shuffled, and no reading.  Only readings under a kept
+    prefix are written (as value and count) and looked at again; a target is
+    settled as soon as its cell holds a single value.  ``df`` is read twice, so a
+    costly one should be written first.
+
     Defined cases: null readings do not count, NaN sorts above infinity, a group
     without readings gives no row, null keys form a group, ties are readings like
     any other, an empty table gives no rows.
@@ -132,22 +129,22 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[flo
     if _BITS % digit_bits:
         raise ValueError("digit_bits must divide 64")
     k = [f"_k{i}" for i in range(len(keys))]
-    rows = cut_lineage(ordered_values(df, keys, value))
-    state: DataFrame | None = None
-    for done in range(digit_bits, _BITS + 1, digit_bits):
-        prefix = F.shiftright("_b", _BITS - done)
-        if state is None:
-            cells = rows.groupBy(*k, prefix.alias("_p")).agg(F.sum("_n").alias("_n"))
-            state = _pick(cells, k, _targets(cells, k, at))
-        else:
-            above = F.shiftright("_b", _BITS - done + digit_bits)
-            cells = rows.groupBy(*k, above.alias("_above"), prefix.alias("_p")).agg(F.sum("_n").alias("_n"))
-            state = _pick(cells, k, state.withColumnRenamed("_p", "_above"))
-        if done < _BITS:
-            state = cut_lineage(state)
-            # only rows under a kept prefix matter from here on
-            near, kept = salted(rows.withColumn("_p", prefix), state.select(*k, "_p").distinct(), F.col("_b"), salts)
-            rows = join_null_safe(near, kept, [*k, "_p", "_salt"], "left_semi", merge=True).drop("_p", "_salt")
-            if done == digit_bits:
-                rows = cut_lineage(rows)
-    return state.select(*[F.col(a).alias(c) for a, c in zip(k, keys, strict=True)], F.col("_q").alias("q"), F.col("_total").alias("n"), from_ordered_bits(F.col("_p")).alias("value"))
+    rows = ordered_rows(df, keys, value).withColumn("_n", F.lit(1).cast("long"))
+    ends = [F.sum("_n").alias("_n"), F.min("_b").alias("_lo"), F.max("_b").alias("_hi")]
+    done = digit_bits
+    cells = rows.groupBy(*k, F.shiftright("_b", _BITS - done).alias("_p")).agg(*ends)
+    state = cut_lineage(_targets(cells, k, at))
+    while done < _BITS:
+        open_ = state.where(F.col("_lo") < F.col("_hi"))
+        if open_.isEmpty():
+            break
+        near = join_few(rows.withColumn("_p", F.shiftright("_b", _BITS - done)), open_.select(*k, "_p").distinct(), [*k, "_p"], F.col("_b"), how="left_semi")
+        rows = cut_lineage(near.groupBy(*k, "_b").agg(F.sum("_n").alias("_n"))) if done == digit_bits else near.drop("_p")
+        done += digit_bits
+        above = F.shiftright("_b", _BITS - done + digit_bits).alias("_above")
+        run = _running(rows.groupBy(*k, above, F.shiftright("_b", _BITS - done).alias("_p")).agg(*ends), [*k, "_above"]).drop("_all")
+        hit = (F.col("_rank") > F.col("_upto") - F.col("_n")) & (F.col("_rank") <= F.col("_upto"))
+        asked = open_.select(*k, F.col("_p").alias("_above"), "_q", "_total", "_rank")
+        closer = join_few(run, asked, [*k, "_above"], F.col("_p"), also=hit).select(*k, "_p", "_lo", "_hi", "_q", "_total", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
+        state = cut_lineage(state.where(F.col("_lo") >= F.col("_hi")).unionByName(closer))
+    return state.select(*[F.col(a).alias(c) for a, c in zip(k, keys, strict=True)], F.col("_q").alias("q"), F.col("_total").alias("n"), from_ordered_bits(F.col("_lo")).alias("value"))
