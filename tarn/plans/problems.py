@@ -86,22 +86,21 @@ def p4_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    p = percentiles.percentiles(bench_runs(spark, d, "p99_ms"), SOURCE, "p99_ms", (0.5, 0.9))
+    p = percentiles.percentiles(cut_lineage(bench_runs(spark, d, "p99_ms")), SOURCE, "p99_ms", (0.5, 0.9))
     at = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
     return p.groupBy(*SOURCE).agg(at(0.5).alias("mid"), at(0.9).alias("high")).where(F.col("high") >= 2 * F.col("mid")).select(*SOURCE)
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    runs = bench_runs(spark, d, "ops_per_sec", "p99_ms")
-    out = None
-    for field in ("ops_per_sec", "p99_ms"):
-        for keys in (["workload"], SOURCE):
-            one = percentiles.percentiles(runs, keys, field, (0.5, 0.9, 0.99))
-            one = one.select(
-                F.lit(field).alias("field"), "workload", (F.col("target") if "target" in keys else F.lit(None).cast("string")).alias("target"), "q", "n", "value"
-            )
-            out = one if out is None else out.unionByName(one)
-    return out
+    """Both fields, per workload and per source, in one selection over (field, grouping) cells."""
+    runs = cut_lineage(bench_runs(spark, d, "ops_per_sec", "p99_ms"))
+    each = [
+        F.struct(F.lit(field).alias("field"), F.lit(by_target).alias("by_target"), (F.col("target") if by_target else F.lit(None).cast("string")).alias("target"), F.col(field).alias("reading"))
+        for field in ("ops_per_sec", "p99_ms")
+        for by_target in (False, True)
+    ]
+    rows = runs.select("workload", F.inline(F.array(*each)))
+    return percentiles.percentiles(rows, ["field", "by_target", "workload", "target"], "reading", (0.5, 0.9, 0.99)).drop("by_target")
 
 
 def p5_combined(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +135,7 @@ def _profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _profile(spark, d).where(F.col("share") >= 0.02).select("db", "collection")
+    return hotkeys.heavy_keys(read_table(spark, d, "audit_events"), ["db", "collection"], "event_id", 0.02).select("db", "collection")
 
 
 def p6_profile(spark: SparkSession, d: str) -> DataFrame:
