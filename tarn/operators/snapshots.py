@@ -3,7 +3,8 @@
 Every snapshot of a stream gets its index in time.  Each key's entries are
 windowed by that index: a changed hash against the previous index is a change, a
 hole in the indices is a removal at the first missing snapshot and an addition
-where the key comes back.  One pass serves any number of snapshots.
+where the key comes back.  One pass serves any number of snapshots, and the
+entries cross the network once.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.skew import FEW
+from tarn.sources import cut_lineage
+
 
 def tidy(text: Column) -> Column:
     """Trimmed of white space and in lower case."""
-    return F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.lower(F.trim(text, F.lit(" \t\n\r\f\v")))
 
 
 def instant(text: Column) -> Column:
@@ -59,10 +63,15 @@ def snapshot_changes(
     days = days.select("_s", "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_s", "_day").orderBy("_at", "_id")
     heads = heads.withColumn("_rank", F.row_number().over(within)).join(days, ["_s", "_day"]).select("_s", "_id", (F.col("_before") + F.col("_rank")).alias("_i"))
+    heads = cut_lineage(heads)
+    few = heads.limit(FEW + 1).count() <= FEW
+
+    placed = (F.broadcast(heads) if few else heads).withColumnsRenamed({"_s": "_hs", "_id": "_hid"})
+    placed = given.select("_s", "_id", "_entries").join(placed, (F.col("_s") == F.col("_hs")) & F.col("_id").eqNullSafe(F.col("_hid")))
     hashed = F.xxhash64(*[x for c in content for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))])
-    exploded = given.select("_s", "_id", F.explode("_entries").alias("_e")).select("_s", "_id", name.alias("_name"), hashed.alias("_h")).where(F.col("_name").isNotNull())
-    cells = exploded.groupBy("_s", "_id", "_name").agg(F.min("_h").alias("_h"))
-    placed = cells.join(heads, ["_s", "_id"])
+    cells = placed.select("_s", "_i", F.explode("_entries").alias("_e")).select("_s", "_i", name.alias("_name"), hashed.alias("_h")).where(F.col("_name").isNotNull())
+    # one exchange serves both the removal of repeats and the window
+    placed = cells.repartition("_s", "_name").groupBy("_s", "_name", "_i").agg(F.min("_h").alias("_h"))
     w = Window.partitionBy("_s", "_name").orderBy("_i")
     seen = placed.select(
         "_s", "_name", "_i", "_h", F.lag("_i").over(w).alias("_pi"), F.lag("_h").over(w).alias("_ph"), F.lead("_i").over(w).alias("_ni")
@@ -81,5 +90,5 @@ def snapshot_changes(
         .where(F.col("change").isNotNull())
     )
     # past the last snapshot there is no header, so its "removals" find no partner
-    found = events.join(heads, ["_s", "_i"])
+    found = events.join(F.broadcast(heads) if few else heads, ["_s", "_i"])
     return found.select(F.col("_s").alias(stream), F.col("_id").alias(snapshot), F.col("_name").alias("name"), "change")
