@@ -15,14 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.operators.ranks import ranked
+from tarn.operators.skew import FEW, join_few
+from tarn.sources import cut_lineage
+
 VECTOR = ("idx", "cnt", "tot", "last_us")
 
 
+def type_table(df: DataFrame, kind: str) -> DataFrame:
+    """The event types in sorted order with their index: ``_t``, ``_i``; any number of them."""
+    found = df.select(F.col(f"`{kind}`").cast("string").alias("_t")).where(F.col("_t").isNotNull()).distinct()
+    return ranked(found, [], [F.col("_t").asc()], "_i").select("_t", F.col("_i").cast("int").alias("_i"))
+
+
 def type_dictionary(df: DataFrame, kind: str, max_types: int = 4096) -> list[str]:
-    """The event types in sorted order; their position is their index.
+    """The event types in sorted order as a list, for one column per type.
 
     The list is collected only up to ``max_types`` + 1 values; more raise, since
-    columns per type would then be the wrong shape for the data.
+    columns per type would then be the wrong shape for the data; the sparse
+    vectors have no such bound.
     """
     c = F.col(f"`{kind}`").cast("string")
     found = [r[0] for r in df.select(c.alias("t")).where(F.col("t").isNotNull()).distinct().limit(max_types + 1).collect()]
@@ -38,23 +49,23 @@ def sparse_features(
     ts: str,
     flag: str,
     event_id: str | None = None,
-    types: Sequence[str] | None = None,
+    types: Sequence[str] | DataFrame | None = None,
 ) -> DataFrame:
     """One row per entity: ``entity`` and its sparse vectors.
 
     Columns: the entity, ``idx`` (sorted type indices), ``cnt``, ``tot`` (how often
     ``flag`` was true) and ``last_us`` (latest ``ts``, microseconds since 1970
-    UTC, null when all are null), aligned by position.
+    UTC, null when all are null), aligned by position.  ``types`` is a list of
+    types or a ``type_table``, by default that of ``df``.
 
     With ``event_id``, exact repetitions of an event count once.  Events without
     entity or type belong to no row; a null flag is not true; an empty table
     gives no rows.  Counting is done per (entity, type) with map-side combine, so
     a hot entity is never gathered: at most one cell per type reaches its row.
     """
-    names = type_dictionary(df, kind) if types is None else list(types)
-    spark = df.sparkSession
-    #: bounded by max_types rows, hence safe to broadcast
-    dictionary = F.broadcast(spark.createDataFrame([(t, i) for i, t in enumerate(names)], "_t string, _i int"))
+    if types is None:
+        types = type_table(df, kind)
+    dictionary = types if isinstance(types, DataFrame) else df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(types)], "_t string, _i int")
     cols = [
         F.col(f"`{entity}`").alias("_e"),
         F.col(f"`{kind}`").cast("string").alias("_t"),
@@ -63,14 +74,20 @@ def sparse_features(
     ]
     if event_id is not None:
         cols.append(F.col(f"`{event_id}`").alias("_id"))
-    rows = df.select(*cols).where(F.col("_e").isNotNull()).join(dictionary, "_t").drop("_t")
+    rows = df.select(*cols).where(F.col("_e").isNotNull() & F.col("_t").isNotNull())
+    few = dictionary.limit(FEW + 1).count() <= FEW
+    if few:  # the index is narrower than the type, so it is put in before anything is shuffled
+        rows = rows.join(F.broadcast(dictionary), "_t").drop("_t")
     if event_id is not None:
         rows = rows.distinct()
-    cells = rows.groupBy("_e", "_i").agg(
+    key = "_i" if few else "_t"
+    cells = rows.groupBy("_e", key).agg(
         F.count(F.lit(1)).alias("_cnt"),
         F.sum(F.col("_ok").cast("long")).alias("_tot"),
         F.max("_us").alias("_last"),
     )
+    if not few:  # a type meets its index once per entity, whatever the number of its events; a hot type is salted
+        cells = join_few(cells, cut_lineage(dictionary), ["_t"], F.col("_e"), most=0).drop("_t")
     return _gather(cells, entity)
 
 

@@ -59,6 +59,9 @@ class TwoStackQueue:
         return self.op(self.front[-1][1], self.back_total) if self.front else self.back_total
 
 
+#: rows of an output batch, so that empty days between distant readings never pile up
+_OUT_ROWS = 10_000
+
 #: (sum, count, min, max); the identity holds no reading.
 UNIT = (0.0, 0, None, None)
 
@@ -148,6 +151,15 @@ def rolling_totals(
             d, s, m, lo, hi = (batch.column(nk + i).to_pylist() for i in range(5))
             source: list[int] = []
             out: list[list] = [[] for _ in range(4 + 5 * len(spans))]
+
+            def part() -> pa.RecordBatch:
+                at = pa.array(source, pa.int32())
+                arrays = [c.take(at) for c in cols] + [pa.array(o, f.type) for o, f in zip(out, arrow[nk:], strict=True)]
+                source.clear()
+                for o in out:
+                    o.clear()
+                return pa.RecordBatch.from_arrays(arrays, names=names)
+
             for i in range(n):
                 today = d[i]
                 if change[i]:
@@ -167,11 +179,12 @@ def rolling_totals(
                     source.append(i)
                     for o, x in zip(out, row, strict=True):
                         o.append(x)
+                    if len(source) == _OUT_ROWS:
+                        yield part()
                 last = today
             entity = tuple(c[n - 1].as_py() for c in cols)
-            at = pa.array(source, pa.int32())
-            arrays = [c.take(at) for c in cols] + [pa.array(o, f.type) for o, f in zip(out, arrow[nk:], strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            if source:
+                yield part()
 
     from pyspark.sql.pandas.types import to_arrow_schema
 

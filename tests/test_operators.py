@@ -3,7 +3,7 @@
 import datetime as dt
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarn.operators import features, hotkeys, percentiles, rolling, sessions, snapshots, spikes
+from tarn.operators.ranks import ranked
 from tarn.plans import problems
 
 # ---- rolling -------------------------------------------------------------------------------------------------------
@@ -239,10 +240,55 @@ def test_spikes(spark):
         assert run() == got
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    sliced = run(hot_rows=40)  # every source counts as hot
+    sliced = run(slice_rows=50, context_rows=45)  # every source is cut
     assert len(sliced) == 240 and {k for k, r in sliced.items() if r.implausible} == {k for k, r in got.items() if r.implausible}
 
 
+def test_slices_of_a_long_history_give_what_the_whole_gives(spark):
+    """Years of runs, many of them of one day, with spikes, stuck readings, a new level and gaps, on both sides of the slice size."""
+    rng = np.random.default_rng(21)
+    n = 6000
+    v = 1000 * np.exp(np.cumsum(rng.normal(0, 0.002, n)) + rng.normal(0, 0.03, n))
+    v[3000:] *= 2.6
+    v[rng.integers(0, n, 60)] *= rng.choice([0.2, 1.35, 4.0], 60)
+    v[2496:2504] = v[2496]
+    day = np.sort(rng.integers(0, 1500, n))
+    day[1000:2200] = day[1000]
+    rows = [("hot", i, dt.date(2030, 1, 1) + dt.timedelta(days=int(day[i])), None if i % 97 == 0 else float(v[i]), float(10 + i % 7)) for i in range(n)]
+    rows += [("small", n + i, dt.date(2030, 1, 1) + dt.timedelta(days=i), float(v[i]), 5.0 + i) for i in range(100)]
+    df = spark.createDataFrame(rows, "w string, run long, day date, x double, y double").cache()
+    run = lambda **o: {r.run: r for r in spikes.spikes(df, ["w"], "run", "day", ["x", "y"], **o).collect()}
+    whole, cut = run(), run(slice_rows=1000, context_rows=900)
+    flags = lambda r: (r.impossible, r.stuck, r.outlying)
+    assert {k: flags(r) for k, r in whole.items()} == {k: flags(r) for k, r in cut.items()} and len(cut) == n + 100
+    assert all(abs(whole[k].score - cut[k].score) < 1e-6 * (1 + abs(whole[k].score)) for k in whole)
+    assert sum(r.outlying for r in whole.values()) > 30 and all(whole[i].stuck for i in range(2496, 2504) if i % 97)
+    df.unpersist()
+
+
+def test_ranks_are_exact_without_one_window(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([1, 1, 1, 2, None, rng.randrange(1000)]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, v int, i int")
+    got = ranked(df, ["g"], [F.col("v").asc_nulls_first()], "at", "of").collect()
+    for g in ("a", "b", None):
+        own = sorted((r.at, -1 if r.v is None else r.v, r.of) for r in got if r.g == g)
+        assert [r[0] for r in own] == list(range(len(own))) and [r[1] for r in own] == sorted(r[1] for r in own)
+        assert {r[2] for r in own} == {len(own)}
+    assert ranked(df.limit(0), [], [F.col("v").asc()]).count() == 0
+
+
+def test_heavy_keys(spark):
+    rng = random.Random(5)
+    rows = [(rng.choices(["x", "y", "z", f"k{rng.randrange(300)}", None], [40, 3, 2, 60, 5])[0], rng.choice(["c", "c", "d", None]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows + rows[:500], "a string, b string, id int").withColumn("n", F.lit("clash"))
+    whole = [r[:2] for r in rows if r[0] is not None and r[1] is not None]
+    for share in (0.5, 0.02, 0.013, 0.2, 1.0):
+        want = {(k, n) for k, n in Counter(whole).items() if n >= share * len(whole)}
+        assert {((r.a, r.b), r.n) for r in hotkeys.heavy_keys(df, ["a", "b"], "id", share).collect()} == want
+    assert hotkeys.heavy_keys(df.limit(0), ["a", "b"], "id", 0.02).count() == 0
+
+
 # ---- percentiles and hot keys --------------------------------------------------------------------------------------
 
 
@@ -337,3 +383,27 @@ def test_snapshot_changes(spark):
         [(2, "b", "changed"), (2, "c", "removed"), (4, "a", "removed"), (4, "b", "removed"), (3, "a", "added"), (3, "c", "added")]
     )
     assert run(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_any_number_of_event_types(spark, monkeypatch, few):
+    """The index table is broadcast or joined; the vectors are the same, and one column per type alone is bounded."""
+    monkeypatch.setattr(features, "FEW", few)
+    rng = random.Random(6)
+    rows = [(rng.choice(["u", "u", "v", None]), rng.choice([f"t{rng.randrange(40)}", None]), dt.datetime(2031, 1, 1, 0, 0, rng.randrange(60)), rng.choice([True, False, None]), i) for i in range(600)]
+    df = spark.createDataFrame(rows + rows[:90], "who string, what string, ts timestamp, ok boolean, id int")
+    names = sorted({r[1] for r in rows} - {None})
+    got = {(r.who, names[r.idx]): (r.cnt, r.tot) for r in features.explode_features(features.sparse_features(df, "who", "what", "ts", "ok", "id"), "who").collect()}
+    want = defaultdict(lambda: (0, 0))
+    for who, what, _, ok, _ in rows:
+        if who and what:
+            want[who, what] = (want[who, what][0] + 1, want[who, what][1] + bool(ok))
+    assert got == dict(want)
+    with pytest.raises(ValueError, match="event types"):
+        features.type_dictionary(df, "what", 5)
+
+
+def test_rolling_fills_decades_in_slices(spark):
+    df = spark.createDataFrame([("a", dt.date(1990, 1, 1), 1.0), ("a", dt.date(2031, 1, 1), 2.0), ("b", dt.date(2031, 1, 1), 3.0)], "k string, d date, v double")
+    got = rolling.rolling_totals(df, ["k"], "d", "v", (7,)).groupBy("k").agg(F.count("*").alias("n"), F.sum("total_7").alias("s")).collect()
+    assert {(r.k, r.n, r.s) for r in got} == {("a", (dt.date(2031, 1, 1) - dt.date(1990, 1, 1)).days + 1, 9.0), ("b", 1, 3.0)}
