@@ -203,7 +203,7 @@ class Collection:
             df = df.offset(skip)
         if limit:
             df = df.limit(abs(limit))
-        return find_projection(df, projection) if projection else df
+        return find_projection(df, projection, filter) if projection else df
 
     def find_one(self, filter: dict | None = None, **options: Any) -> Row | None:
         return self.find(filter, **options | {"limit": 1}).first()
@@ -378,7 +378,7 @@ class Collection:
         """Change or remove the first match in sort order; returns it as it was, or as it is with ``new``."""
         df, hit = self._match(self.df, query, True, sort)
         before = df.where(hit).drop("_hit")
-        old = (find_projection(before, fields) if fields else before).first()
+        old = (find_projection(before, fields, query) if fields else before).first()
         if remove:
             if old is not None:
                 self.db.write(self.name, df.where(~hit).drop("_hit"))

@@ -16,29 +16,43 @@ from pyspark.sql import types as T
 from tarn.functions.expr import Compiler, Scope
 from tarn.functions.types import DOUBLE, INT, LONG, PipelineError, Typed, is_integer, is_number, null_of
 
-#: one sort key: column and whether it descends
-Order = Sequence[tuple[Column, bool]]
-
-
-def _rank(order: Order) -> Column:
-    """A struct that sorts ascending in pipeline order (numbers are negated, other types inverted by their bytes)."""
-    parts = []
-    for c, descending in order:
-        if descending:
-            raise _NeedsWindow
-        parts += [c.isNotNull(), c]
+#: one sort key: column, whether it descends, and its type
+Order = Sequence[tuple[Column, bool, T.DataType]]
+
+
+def _turned(c: Column, t: T.DataType) -> list[Column] | None:
+    """Columns that sort ascending as ``c`` sorts descending (nulls last); None for types that have none."""
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        return [c.isNull(), ~F.isnan(c), -c]
+    if is_integer(t):
+        return [c.isNull(), F.bitwise_not(c)]
+    if isinstance(t, T.DecimalType):
+        return [c.isNull(), -c]
+    if isinstance(t, T.BooleanType):
+        return [c.isNull(), ~c]
+    if isinstance(t, T.DateType):
+        return [c.isNull(), -F.unix_date(c)]
+    if isinstance(t, T.TimestampType):
+        return [c.isNull(), F.bitwise_not(F.unix_micros(c))]
+    return None
+
+
+def _rank(order: Order) -> Column | None:
+    """A struct that sorts ascending in pipeline order; None if a descending key cannot be turned."""
+    parts: list[Column] = []
+    for c, descending, t in order:
+        turned = _turned(c, t) if descending else [c.isNotNull(), c]
+        if turned is None:
+            return None
+        parts += turned
     return F.struct(*[p.alias(f"o{i}") for i, p in enumerate(parts)])
 
 
-class _NeedsWindow(Exception):
-    """The order has descending keys, which min_by cannot express."""
-
-
 def _ordered_list(x: Column, order: Order) -> Column:
     """All values, nulls kept, in pipeline order."""
     if not order:
         return F.transform(F.collect_list(F.struct(x.alias("x"))), lambda e: e.getField("x"))
-    keys = [c.alias(f"o{i}") for i, (c, _) in enumerate(order)]
+    keys = [c.alias(f"o{i}") for i, (c, _, _) in enumerate(order)]
     rows = F.collect_list(F.struct(*keys, x.alias("x")))
 
     def before(a: Column, b: Column) -> Column:
@@ -57,13 +71,13 @@ def _edge(x: Column, order: Order, last: bool) -> Column:
     boxed = F.struct(x.alias("x"))
     if not order:
         return (F.last if last else F.first)(boxed).getField("x")
-    try:
-        rank = _rank(order)
-    except _NeedsWindow:
-        if all(d for _, d in order):
+    rank = _rank(order)
+    if rank is None:
+        if all(d for _, d, _ in order):
             # all descending: the first is the greatest
-            rank = F.struct(*[p.alias(f"o{i}") for i, p in enumerate([q for c, _ in order for q in (c.isNotNull(), c)])])
+            rank = F.struct(*[p.alias(f"o{i}") for i, p in enumerate([q for c, _, _ in order for q in (c.isNotNull(), c)])])
             return (F.min_by if last else F.max_by)(boxed, rank).getField("x")
+        # a text that descends beside a key that ascends: only here are the group's values gathered
         ordered = _ordered_list(x, order)
         return F.try_element_at(ordered, F.lit(-1 if last else 1))
     return (F.max_by if last else F.min_by)(boxed, rank).getField("x")

@@ -12,7 +12,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -622,45 +621,53 @@ def _regex_args(c: Compiler, arg: Any, name: str) -> tuple[Column, str, str]:
 _MATCH = T.StructType([T.StructField("match", STRING), T.StructField("idx", INT), T.StructField("captures", T.ArrayType(STRING, True))])
 
 
-def _finder(pattern: str, options: str, every: bool) -> Callable[[Column], Column]:
-    flags = sum({"i": re.I, "m": re.M, "s": re.S}.get(o, 0) for o in set(options))
-    re.compile(pattern, flags)  # a bad pattern fails here, not on an executor
+def _groups(rx: str) -> int:
+    """Number of capturing groups of a Java pattern; a bad pattern raises here, not on an executor."""
+    from pyspark.sql import SparkSession
 
-    def found(m: re.Match) -> dict:
-        return {"match": m.group(0), "idx": m.start(), "captures": [g or None for g in m.groups()]}
-
-    if every:
-
-        @F.pandas_udf(T.ArrayType(_MATCH))
-        def find_all(s: pd.Series) -> pd.Series:
-            rx = re.compile(pattern, flags)
-            return pd.Series([[] if t is None else [found(m) for m in rx.finditer(t)] for t in s])
-
-        return find_all
-
-    @F.pandas_udf(_MATCH)
-    def find(s: pd.Series) -> pd.DataFrame:
-        rx = re.compile(pattern, flags)
-        hits = [None if t is None else rx.search(t) for t in s]
-        rows = [{"match": None, "idx": None, "captures": None} if m is None else found(m) for m in hits]
-        out = pd.DataFrame(rows, columns=["match", "idx", "captures"])
-        out["idx"] = out["idx"].astype("Int32")
-        return out
-
-    return find
+    spark = SparkSession.getActiveSession()
+    if not rx:
+        raise PipelineError("an empty pattern")
+    try:
+        return int(spark._jvm.java.util.regex.Pattern.compile(rx).matcher("").groupCount())
+    except Exception as e:
+        raise PipelineError(f"bad pattern {rx}: {str(e).splitlines()[0]}") from None
 
 
 @operator("$regexFind")
 def _regex_find(c: Compiler, arg: Any) -> Typed:
     s, pattern, options = _regex_args(c, arg, "$regexFind")
-    hit = _finder(pattern, options, False)(s)
-    return Typed(F.when(hit.getField("idx").isNotNull(), hit), _MATCH)
+    rx = java_flags(options) + pattern
+    part = lambda i: F.regexp_extract(s, rx, i)
+    captures = F.array(*[F.nullif(part(i), F.lit("")) for i in range(1, _groups(rx) + 1)]).cast("array<string>")
+    # what lies before the first match, in characters; a split never has an empty first part before an empty match
+    at = F.when(F.regexp_instr(s, F.lit(rx)) == 1, F.lit(0)).otherwise(F.char_length(F.split(s, rx, 2).getItem(0)))
+    return Typed(F.when(s.rlike(rx), F.struct(part(0).alias("match"), at.cast("int").alias("idx"), captures.alias("captures"))), _MATCH)
 
 
 @operator("$regexFindAll")
 def _regex_find_all(c: Compiler, arg: Any) -> Typed:
     s, pattern, options = _regex_args(c, arg, "$regexFindAll")
-    return Typed(_finder(pattern, options, True)(s), T.ArrayType(_MATCH))
+    rx = java_flags(options) + pattern
+    groups = _groups(rx)
+    part = lambda i: F.regexp_extract_all(s, F.lit(rx), F.lit(i))
+    between = F.split(s, rx, -1)
+    between = F.when(F.size(between) == F.size(part(0)), F.concat(F.array(F.lit("")), between)).otherwise(between)
+    lengths = F.arrays_zip(F.transform(between, F.char_length).alias("b"), F.transform(part(0), F.char_length).alias("m"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+
+    def step(acc: Column, x: Column) -> Column:
+        here = acc.getField("at") + x.getField("b")
+        return F.struct((here + F.coalesce(x.getField("m"), F.lit(0))).alias("at"), F.concat(acc.getField("places"), F.array(here)).alias("places"))
+
+    places = F.aggregate(lengths, start, step, lambda acc: acc.getField("places"))
+    zipped = F.arrays_zip(part(0).alias("m"), F.slice(places, F.lit(1), F.size(part(0))).alias("p"), *[part(i).alias(f"g{i}") for i in range(1, groups + 1)])
+
+    def hit(x: Column) -> Column:
+        captures = F.array(*[F.nullif(x.getField(f"g{i}"), F.lit("")) for i in range(1, groups + 1)]).cast("array<string>")
+        return F.struct(x.getField("m").alias("match"), x.getField("p").alias("idx"), captures.alias("captures"))
+
+    return Typed(F.coalesce(F.transform(zipped, hit), F.array().cast(T.ArrayType(_MATCH))), T.ArrayType(_MATCH))
 
 
 @operator("$regexMatch")

@@ -6,6 +6,7 @@ DataFrame have none.  The whole pipeline is checked before any data is touched.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any, Protocol
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions import paths
-from tarn.functions.accum import Order, _ordered_list, accumulate
+from tarn.functions.accum import Order, _ordered_list, _rank, accumulate
 from tarn.functions.expr import Compiler, Scope, compile_expression, literal, slice_of, struct
 from tarn.functions.match import compile_match, element_predicate
 from tarn.functions.types import PipelineError, Typed, as_type, is_null, less, sort_column, widest
+from tarn.operators.ranks import ranked
 from tarn.operators.skew import join_null_safe
 from tarn.sources import cut_lineage
 
@@ -49,7 +51,8 @@ class Frame:
         return replace(self, df=df, order=self.order if kept else ())
 
     def order_columns(self) -> Order:
-        return [(paths.resolve(self.schema, p).col, d) for p, d in self.order]
+        at = [(paths.resolve(self.schema, p), d) for p, d in self.order]
+        return [(v.col, d, v.type) for v, d in at]
 
     def lookup_catalog(self, stage: str) -> Catalog:
         if self.catalog is None:
@@ -420,14 +423,8 @@ def _bucket_auto(f: Frame, spec: Any) -> Frame:
     if k < 1:
         raise PipelineError("buckets must be positive")
     key = compile_expression(spec["groupBy"], f.schema)
-    # ranks without one window over everything: range partitions, their counts, and the place within each
-    parts = f.df.withColumn("_key", key.col).repartitionByRange(F.col("_key").asc_nulls_first()).sortWithinPartitions(F.col("_key").asc_nulls_first())
-    placed = cut_lineage(parts.withColumns({"_part": F.spark_partition_id(), "_mono": F.monotonically_increasing_id()}))
-    per = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
-    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.select("_part", "_first", ahead.alias("_ahead"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    ranked = placed.join(F.broadcast(per), "_part")  # one row per partition
-    at = F.col("_mono") - F.col("_first") + F.col("_ahead")
+    placed = ranked(f.df.withColumn("_key", key.col), [], [F.col("_key").asc_nulls_first()], "_place", "_all")
+    at = F.col("_place")
     q, r = F.expr(f"_all div {k}"), F.expr(f"_all % {k}")
     big = r * (q + 1)
     bucket = F.when(at < big, F.floor(at / F.greatest(q + 1, F.lit(1)))).otherwise(r + F.floor((at - big) / F.greatest(q, F.lit(1))))
@@ -435,7 +432,7 @@ def _bucket_auto(f: Frame, spec: Any) -> Frame:
     output = spec.get("output") or {"count": {"$sum": 1}}
     aggs = [accumulate(a, f.schema, order, name).col.alias(name) for name, a in output.items()]
     df = (
-        ranked.withColumn("_bucket", bucket.cast("long"))
+        placed.withColumn("_bucket", bucket.cast("long"))
         .groupBy("_bucket")
         .agg(F.min("_key").alias("_min"), F.max("_key").alias("_max"), *aggs)
         .orderBy("_bucket")
@@ -473,21 +470,80 @@ def _unwind(f: Frame, spec: Any) -> Frame:
 # ---- several collections -------------------------------------------------------------------------------------------
 
 
-def _run_rowwise(df: DataFrame, pipeline: Sequence[dict], f: Frame, keep: Sequence[str]) -> DataFrame:
-    """Row-wise stages on a foreign collection, carrying the helper columns ``keep``."""
-    frame = replace(f, df=df, order=())
+def _run_keyed(f: Frame, df: DataFrame, pipeline: Sequence[dict], keys: Sequence[str]) -> Frame:
+    """A sub-pipeline over each set of rows with equal ``keys`` (helper columns, carried along), all sets at once.
+
+    Sorting is kept as helper columns ``_so*`` until something needs the order; limits
+    are row numbers within the key, so that only the first rows of each map task
+    are shuffled; groups and counts take the keys into their own.
+    """
+    frame, helpers = replace(f, df=df, order=()), list(keys)
+
+    def numbered() -> DataFrame:
+        order = [sort_column(c, d) for c, d, _ in frame.order_columns()] or [F.lit(1)]
+        return frame.df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
     for s in pipeline:
         name, spec = next(iter(s.items()))
-        if name not in ROW_WISE:
+        if name in ("$replaceRoot", "$replaceWith"):
+            expr = spec["newRoot"] if isinstance(spec, dict) and set(spec) == {"newRoot"} else spec
+            root = compile_expression(expr, frame.schema)
+            if not isinstance(root.type, T.StructType):
+                raise PipelineError("the new root must be a document")
+            frame = replace(frame, df=frame.df.select(*helpers, root.col.alias("_root")).select(*helpers, "_root.*"))
+        elif name == "$project":
+            if any(not _is_flag(v) or v for v in _flatten(spec).values()):
+                spec = {**spec, **dict.fromkeys(helpers, 1)}
+            frame = STAGES[name](frame, spec)
+        elif name in ROW_WISE or name in ("$unwind", "$lookup", "_lookupUnwind", "_lookupAnti", "_lookupSemi"):
+            frame = replace(STAGES[name](frame, spec), order=frame.order)
+        elif name == "$sort":
+            by = [(paths.resolve(frame.schema, p).col, isinstance(d, (int, float)) and d < 0) for p, d in spec.items() if paths.exists(frame.schema, p)]
+            names = [f"_so{i}" for i in range(len(by))]
+            helpers = [*keys, *names]
+            frame = replace(frame, df=frame.df.drop(*[c for c in frame.df.columns if c.startswith("_so")]).withColumns({n: c for n, (c, _) in zip(names, by)}), order=tuple((n, d) for n, (_, d) in zip(names, by)))
+        elif name in ("$limit", "$skip"):
+            n = _count_of(spec, name)
+            frame = replace(frame, df=numbered().where(F.col("_rn") <= n if name == "$limit" else F.col("_rn") > n).drop("_rn"))
+        elif name == "$group":
+            order = frame.order_columns()
+            aggs = [accumulate(a, frame.schema, order, n).col.alias(n) for n, a in spec.items() if n != "_id"]
+            grouped = frame.df.groupBy(*keys, _group_key(spec.get("_id"), frame.schema))
+            frame, helpers = replace(frame, df=grouped.agg(*aggs) if aggs else grouped.count().drop("count"), order=()), list(keys)
+        elif name == "$sortByCount":
+            counted = frame.df.groupBy(*keys, _group_key(spec, frame.schema)).agg(F.count(F.lit(1)).cast("int").alias("count"))
+            helpers = [*keys, "_so0", "_so1"]
+            frame = replace(frame, df=counted.withColumns({"_so0": F.col("count"), "_so1": F.col("_id")}), order=(("_so0", True), ("_so1", False)))
+        elif name == "$count":
+            if not isinstance(spec, str) or not spec or spec.startswith("$"):
+                raise PipelineError("requires a field name")
+            frame, helpers = replace(frame, df=frame.df.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias(spec)), order=()), list(keys)
+        else:
             raise PipelineError(f"{name} is not supported in a correlated $lookup")
-        if name == "$project" and any(not _is_flag(v) or v for v in spec.values()):
-            spec = {**spec, **dict.fromkeys(keep, 1)}
-        frame = STAGES[name](frame, spec)
-    return frame.df
+    return frame
+
+
+@dataclass(frozen=True)
+class Foreign:
+    """The foreign side of a ``$lookup``: rows with key columns ``names``, and the local values they must equal."""
+
+    frame: Frame
+    local: list[Typed]
+    names: list[str]
+    pipeline: list[dict]  #: what has still to run on the rows that a local row meets
+    any_of: bool  #: the first key meets any element of an array, on either side
+
+    @property
+    def many(self) -> bool:
+        """Whether a local row has several keys."""
+        return self.any_of and isinstance(self.local[0].type, T.ArrayType)
+
+    def nested(self) -> Column:
+        return _nested(self.frame.df, [*self.names, "_fid", "_row"])
 
 
-def foreign_side(f: Frame, spec: dict) -> tuple[DataFrame, list[Typed], list[str]]:
-    """The foreign rows with key columns ``_fk*``, and the local keys they must equal."""
+def foreign_side(f: Frame, spec: dict) -> Foreign:
+    """Load the other collection, find the keys and run the sub-pipeline as far as it can run per key."""
     catalog = f.lookup_catalog("$lookup")
     foreign = catalog.load(spec["from"])
     pipeline = list(spec.get("pipeline") or [])
@@ -513,14 +569,32 @@ def foreign_side(f: Frame, spec: dict) -> tuple[DataFrame, list[Typed], list[str
             pipeline.insert(0, {"$match": {"$expr": {"$and": rest}}})
     names = [f"_fk{i}" for i in range(len(keys))]
     foreign = foreign.withColumns({n: (k.col if not is_null(k.type) else F.lit(None).cast("string")) for n, k in zip(names, keys)})
-    for n, k in zip(names, keys):
-        if isinstance(k.type, T.ArrayType):
-            foreign = foreign.withColumn(n, F.explode_outer(F.array_distinct(F.col(n))))
-    if keys and pipeline:
-        foreign = _run_rowwise(foreign, pipeline, f, names)
-    elif pipeline:
-        foreign = run(replace(f, df=foreign, order=()), pipeline).df
-    return foreign, local, names
+    any_of = "localField" in spec
+    lists = any_of and isinstance(keys[0].type, T.ArrayType)
+    many = any_of and isinstance(local[0].type, T.ArrayType)
+    if lists and many:
+        # a row that is met by several elements counts once: it needs an id, which a written table keeps the same
+        foreign = cut_lineage(foreign.withColumn("_fid", F.monotonically_increasing_id()))
+    if lists:
+        foreign = foreign.withColumn(names[0], F.explode_outer(F.array_distinct(F.col(names[0]))))
+    frame = replace(f, df=foreign, order=())
+    if pipeline and not keys:
+        return Foreign(run(frame, pipeline), local, names, [], any_of)
+    if many and any(next(iter(s)) not in ROW_WISE for s in pipeline):
+        return Foreign(frame, local, names, pipeline, any_of)  # the rows of several keys are one set
+    return Foreign(_run_keyed(f, foreign, pipeline, [*names, *(["_fid"] if lists and many else [])]), local, names, [], any_of)
+
+
+def _local_keys(f: Frame, side: Foreign, df: DataFrame) -> DataFrame:
+    types = side.frame.schema
+    return df.withColumns({n: (v.col if not is_null(v.type) else F.lit(None).cast(types[n].dataType)) for n, v in zip(side.names, side.local)})
+
+
+def _each_key(f: Frame, side: Foreign) -> tuple[DataFrame, DataFrame]:
+    """The local rows with ``_row``, and one row per ``_row`` and key; null and empty arrays have none."""
+    left = cut_lineage(_local_keys(f, side, f.df).withColumn("_row", F.monotonically_increasing_id()))
+    each = left.select("_row", F.explode(F.array_distinct(side.names[0])).alias(side.names[0]), *side.names[1:])
+    return left.drop(*side.names), each
 
 
 def _conjuncts(match: dict) -> list[Any]:
@@ -543,34 +617,33 @@ def _correlation(e: Any, variables: dict[str, Typed], schema: T.StructType) -> t
 
 
 def _nested(foreign: DataFrame, names: Sequence[str]) -> Column:
-    return F.struct(*[F.col(paths.quoted(c)) for c in foreign.columns if c not in names])
+    return F.struct(*[F.col(paths.quoted(c)) for c in foreign.columns if c not in names and not c.startswith("_so")])
 
 
 @stage("$lookup")
 def _lookup(f: Frame, spec: Any) -> Frame:
     if not isinstance(spec, dict) or "from" not in spec or "as" not in spec:
         raise PipelineError("requires from and as")
-    foreign, local, names = foreign_side(f, spec)
-    nested = _nested(foreign, names)
+    side = foreign_side(f, spec)
+    foreign, names = side.frame.df, side.names
     if not names:
-        # uncorrelated: the same array for every row, computed once
-        one = foreign.agg(F.collect_list(nested).alias("_found"))
+        # uncorrelated: the same array for every row, computed once, as large as its meaning demands
+        one = foreign.agg(_ordered_list(side.nested(), side.frame.order_columns()).alias("_found"))
         joined = f.df.crossJoin(one)
         return f.with_df(set_fields(joined, {spec["as"]: Typed(F.col("_found"), joined.schema["_found"].dataType)}).drop("_found"))
-    grouped = foreign.groupBy(*names).agg(F.collect_list(nested).alias("_found"))
-    kind = grouped.schema["_found"].dataType
-    left, drop = f.df, []
-    if len(names) == 1 and isinstance(local[0].type, T.ArrayType):
-        # any element may match: explode the keys, collect the matches per row, join them back
-        left = cut_lineage(f.df.withColumn("_row", F.monotonically_increasing_id()))
-        key = paths.resolve(left.schema, spec["localField"]).col
-        each = left.select("_row", F.explode(F.array_distinct(key)).alias("_fk0"))
-        matched = join_null_safe(each, grouped, ["_fk0"]).groupBy("_row").agg(F.flatten(F.collect_list("_found")).alias("_found"))
-        joined = left.join(matched, "_row", "left").drop("_row")
+    if side.many:
+        left, each = _each_key(f, side)
+        met = join_null_safe(each, foreign, names).drop(*names)
+        if "_fid" in met.columns:
+            met = met.dropDuplicates(["_row", "_fid"]).drop("_fid")
+        frame = _run_keyed(f, met, side.pipeline, ["_row"]) if side.pipeline else replace(side.frame, df=met)
+        rows = frame.df.groupBy("_row").agg(_ordered_list(_nested(frame.df, ["_row"]), frame.order_columns()).alias("_found"))
+        kind = rows.schema["_found"].dataType
+        joined = left.join(rows, "_row", "left").drop("_row")
     else:
-        left = f.df.withColumns({n: (v.col if not is_null(v.type) else F.lit(None).cast(foreign.schema[n].dataType)) for n, v in zip(names, local)})
-        drop = names
-        joined = join_null_safe(left, grouped, names, "left").drop(*drop)
+        grouped = foreign.groupBy(*names).agg(_ordered_list(side.nested(), side.frame.order_columns()).alias("_found"))
+        kind = grouped.schema["_found"].dataType
+        joined = join_null_safe(_local_keys(f, side, f.df), grouped, names, "left").drop(*names)
     found = F.coalesce(F.col("_found"), F.array().cast(kind))
     return f.with_df(set_fields(joined, {spec["as"]: Typed(found, kind)}).drop("_found"))
 
@@ -579,25 +652,33 @@ def _lookup(f: Frame, spec: Any) -> Frame:
 def _lookup_unwind(f: Frame, spec: Any) -> Frame:
     """``$lookup`` followed by ``$unwind`` of its result: a plain join, no arrays."""
     look, unwind = spec
-    foreign, local, names = foreign_side(f, look)
-    index = unwind.get("includeArrayIndex")
-    if not names or index or any(isinstance(v.type, T.ArrayType) for v in local):
+    side = foreign_side(f, look)
+    names = side.names
+    if not names or unwind.get("includeArrayIndex") or side.many:
         return _unwind(_lookup(f, look), unwind)
-    right = foreign.select(*names, _nested(foreign, names).alias("_found"))
-    left = f.df.withColumns({n: (v.col if not is_null(v.type) else F.lit(None).cast(foreign.schema[n].dataType)) for n, v in zip(names, local)})
+    right = side.frame.df.select(*names, side.nested().alias("_found"))
     how = "left" if unwind.get("preserveNullAndEmptyArrays") else "inner"
-    joined = join_null_safe(left, right, names, how).drop(*names)
+    joined = join_null_safe(_local_keys(f, side, f.df), right, names, how).drop(*names)
     return f.with_df(set_fields(joined, {look["as"]: Typed(F.col("_found"), joined.schema["_found"].dataType)}).drop("_found"))
 
 
 @stage("_lookupAnti", "_lookupSemi")
 def _lookup_anti(f: Frame, spec: Any) -> Frame:
     look, how = spec
-    foreign, local, names = foreign_side(f, look)
-    left = f.df.withColumns({n: (v.col if not is_null(v.type) else F.lit(None).cast(foreign.schema[n].dataType)) for n, v in zip(names, local)})
-    out = join_null_safe(left, foreign.select(*names), names, how).drop(*names)
+    side = foreign_side(f, look)
+    names = side.names
+    if side.pipeline:  # what a row's several keys meet has to pass the sub-pipeline as one set
+        full = _lookup(f, look)
+        empty = F.size(paths.resolve(full.schema, look["as"]).col) == 0
+        return f.with_df(full.df.where(empty) if how == "left_anti" else full.df.where(~empty).drop(look["as"]))
+    if side.many:
+        left, each = _each_key(f, side)
+        met = join_null_safe(each, side.frame.df.select(*names), names, "left_semi").select("_row").distinct()
+        out = left.join(met, "_row", how).drop("_row")
+    else:
+        out = join_null_safe(_local_keys(f, side, f.df), side.frame.df.select(*names), names, how).drop(*names)
     if how == "left_anti":
-        kind = T.ArrayType(foreign.select(_nested(foreign, names).alias("_x")).schema["_x"].dataType)
+        kind = T.ArrayType(side.frame.df.select(side.nested().alias("_x")).schema["_x"].dataType)
         out = set_fields(out, {look["as"]: Typed(F.array().cast(kind), kind)})
     return f.with_df(out)
 
@@ -630,6 +711,10 @@ def _facet(f: Frame, spec: Any) -> Frame:
     if not isinstance(spec, dict) or not spec:
         raise PipelineError("requires named pipelines")
     out: DataFrame | None = None
+    plan = f.df._jdf.queryExecution().optimizedPlan().toString()
+    if len(spec) > 1 and re.search(r"^[ :+-]*(Aggregate|Join|Sort|Window|Distinct|Generate|Deduplicate|MapIn)", plan, re.M):
+        # what comes before is more than a scan with filters: it is done once for all branches
+        f = replace(f, df=cut_lineage(f.df))
     for name, sub in spec.items():
         branch = run(replace(f), sub)
         rows = F.struct(*[F.col(paths.quoted(c)) for c in branch.df.columns])
@@ -645,12 +730,14 @@ def _out(f: Frame, spec: Any) -> Frame:
     return replace(f, df=f.catalog.load(name))
 
 
-def merge(target: DataFrame | None, source: DataFrame, on: Sequence[str], matched: str = "merge", unmatched: str = "insert") -> DataFrame:
+def merge(target: DataFrame | None, source: DataFrame, on: Sequence[str], matched: str = "merge", unmatched: str = "insert", order: Order = ()) -> DataFrame:
     """The target after merging the source on the key columns."""
     if matched not in ("merge", "replace", "keepExisting", "fail"):
         raise PipelineError(f"$merge: whenMatched {matched} is not supported")
     if unmatched not in ("insert", "discard", "fail"):
         raise PipelineError(f"$merge: whenNotMatched {unmatched} is not supported")
+    if all(k in source.columns for k in on):
+        source = fold_repeats(source, on, matched, order)
     if target is None:
         if unmatched == "fail":
             raise PipelineError("$merge: no target document matches")
@@ -686,6 +773,25 @@ def merge(target: DataFrame | None, source: DataFrame, on: Sequence[str], matche
     return both.select(*cols)
 
 
+def fold_repeats(source: DataFrame, on: Sequence[str], matched: str, order: Order = ()) -> DataFrame:
+    """One row per key, as if the source's rows were merged one after another in the pipeline's order.
+
+    The last one stands, with ``keepExisting`` the first; with ``fail`` a second one
+    raises.  Without an order (or one that a rank cannot express) the choice is by
+    a hash of the row, the same in every run.
+    """
+    others = [F.col(paths.quoted(c)).alias(c) for c in source.columns if c not in on]
+    if not others:
+        return source.distinct()
+    row = F.struct(*others)
+    place = _rank(order) if order else None
+    pick = F.min_by if matched == "keepExisting" else F.max_by
+    one = source.groupBy(*[F.col(paths.quoted(c)).alias(c) for c in on]).agg(pick(row, F.xxhash64(F.to_json(row)) if place is None else place).alias("_one"), F.count(F.lit(1)).alias("_many"))
+    if matched == "fail":
+        one = one.where(F.when(F.col("_many") > 1, F.raise_error(F.lit("$merge: a target document matches")).cast("boolean")).otherwise(True))
+    return one.select(*[F.col(paths.quoted(c)) for c in on], "_one.*").select(*[F.col(paths.quoted(c)) for c in source.columns])
+
+
 @stage("$merge")
 def _merge(f: Frame, spec: Any) -> Frame:
     spec = {"into": spec} if isinstance(spec, str) else spec
@@ -694,15 +800,38 @@ def _merge(f: Frame, spec: Any) -> Frame:
     catalog = f.lookup_catalog("$merge")
     source = cut_lineage(f.df)
     target = catalog.load(into) if catalog.has(into) else None
-    catalog.write(into, merge(target, source, [on] if isinstance(on, str) else list(on), spec.get("whenMatched", "merge"), spec.get("whenNotMatched", "insert")))
+    catalog.write(into, merge(target, source, [on] if isinstance(on, str) else list(on), spec.get("whenMatched", "merge"), spec.get("whenNotMatched", "insert"), replace(f, df=source).order_columns()))
     return replace(f, df=source)
 
 
 # ---- find projections ----------------------------------------------------------------------------------------------
 
 
-def find_projection(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
-    """A ``find`` projection: inclusion, exclusion, ``$slice``, ``$elemMatch``, ``f.$`` and expressions."""
+def _asked_of(query: dict[str, Any], path: str, kind: T.DataType) -> dict[str, Any]:
+    """What a filter demands of an element of the array at ``path``, as an ``$elemMatch`` condition."""
+    out: dict[str, Any] = {}
+    for k, v in query.items():
+        if k == "$and":
+            for q in v:
+                out |= _asked_of(q, path, kind)
+        elif k == path:
+            if isinstance(v, dict) and "$elemMatch" in v:
+                out |= v["$elemMatch"]
+            elif isinstance(v, dict) and any(x.startswith("$") for x in v):
+                out |= v
+            else:
+                out |= {"$eq": v}
+        elif k.startswith(path + "."):
+            out[k[len(path) + 1 :]] = v
+    return out
+
+
+def find_projection(df: DataFrame, spec: dict[str, Any], query: dict[str, Any] | None = None) -> DataFrame:
+    """A ``find`` projection: inclusion, exclusion, ``$slice``, ``$elemMatch``, ``f.$`` and expressions.
+
+    ``f.$`` keeps the first element that meets what ``query`` demands of the array;
+    where it demands nothing that is the first.
+    """
     flags = {k: bool(v) for k, v in spec.items() if _is_flag(v) and k != "_id"}
     if len(set(flags.values())) > 1:
         raise PipelineError("a projection cannot mix inclusion and exclusion")
@@ -738,7 +867,11 @@ def find_projection(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
         rest.pop(f"{k}.$")
         a = paths.resolve(schema, k)
         if isinstance(a.type, T.ArrayType):
-            df = set_fields(df, {k: Typed(F.slice(a.col, 1, 1), a.type)})
+            from tarn.functions.match import Matcher
+
+            asked = _asked_of(query or {}, k, a.type.elementType)
+            hit = F.filter(a.col, element_predicate(Matcher(schema), a.type.elementType, asked)) if asked else a.col
+            df = set_fields(df, {k: Typed(F.slice(hit, 1, 1), a.type)})
         rest[k] = 1
     return project(df, rest, computed)
 

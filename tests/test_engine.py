@@ -367,3 +367,79 @@ def test_schema_free_frame(spark):
     f = run(Frame(spark.createDataFrame([(1,)], "x int")), [{"$set": {"a.b.c": "$x"}}])
     assert f.df.schema == T.StructType([T.StructField("x", T.IntegerType()), *f.df.schema.fields[1:]]) and f.df.first().a.b.c == 1
     assert compile_match({}, f.schema) is not None
+
+
+@pytest.mark.parametrize("rx", ["[aeiou]", "^a", "(b)(c)?", "x*", "(?=b)", "$", "🙂", "b+", "(?<=a)b"])
+def test_regex_finds_match_a_plain_scan(spark, rx):
+    """Matches, places in characters and groups; the patterns mean the same in either dialect."""
+    texts = ["abcab", "", "🙂ab🙂cbb", "xxx", "bcb", None, "no"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    db = Database(spark, "/nowhere", {"c": df})
+    rows = db["c"].aggregate([{"$project": {"s": 1, "one": {"$regexFind": {"input": "$s", "regex": rx}}, "all": {"$regexFindAll": {"input": "$s", "regex": rx}}}}]).collect()
+    for r in rows:
+        if rx == "x*" and r.s and "🙂" in r.s:
+            continue  # the JVM also has empty matches between the two halves of such a character
+        want = [] if r.s is None else [(m.group(0), m.start(), [g or None for g in m.groups()]) for m in re.finditer(rx, r.s)]
+        assert [tuple(x) for x in r["all"]] == want, r.s
+        assert (None if r.one is None else tuple(r.one)) == (want[0] if want else None), r.s
+
+
+def test_lookup_forms(spark, db):
+    table(spark, db, "_id int, k array<string>, n int", [(1, ["x", "y"], 1), (2, ["x"], 2), (3, [], 3), (4, None, 4), (5, ["z", None], 5)], "l")
+    table(spark, db, "_id int, k array<string>, v int", [(10, ["x", "y"], 5), (11, ["x"], 7), (12, None, 1), (13, ["q"], 3)], "f")
+    table(spark, db, "_id int, g string, v int, tag string", [(1, "x", 5, "a"), (2, "x", 9, "b"), (3, "x", 7, "a"), (4, "y", 1, "c"), (5, None, 2, "d")], "s")
+    look = lambda frm, **o: {"$lookup": {"from": frm, "localField": "k", "foreignField": o.pop("ff", "k"), "as": "m", **o}}
+    run = lambda c, *stages: {r._id: r for r in db[c].aggregate(list(stages)).collect()}
+    got = run("l", look("f"))
+    assert {i: sorted(x._id for x in r.m) for i, r in got.items()} == {1: [10, 11], 2: [10, 11], 3: [], 4: [], 5: [12]}
+    assert set(run("l", look("f"), {"$match": {"m": []}})) == {3, 4}
+    assert set(run("l", look("s", ff="g"), {"$match": {"m": {"$ne": []}}}, {"$unset": "m"})) == {1, 2, 5}
+    assert set(run("l", look("s", ff="g"), {"$match": {"m": {"$size": 0}}})) == {3, 4}
+    # the best two of each row's matches, whatever number of keys it has
+    top = [{"$sort": {"v": -1}}, {"$limit": 2}, {"$project": {"v": 1, "_id": 0}}]
+    got = run("l", look("s", ff="g", pipeline=top))
+    assert {i: [x.v for x in r.m] for i, r in got.items()} == {1: [9, 7], 2: [9, 7], 3: [], 4: [], 5: [2]}
+    # per key, before the join
+    table(spark, db, "_id string", [("x",), ("y",), ("w",)], "keys")
+    by_key = lambda p: {"$lookup": {"from": "s", "localField": "_id", "foreignField": "g", "pipeline": p, "as": "m"}}
+    got = run("keys", by_key([{"$sort": {"v": 1}}, {"$skip": 1}, {"$project": {"v": 1, "_id": 0}}]))
+    assert {i: [x.v for x in r.m] for i, r in got.items()} == {"x": [7, 9], "y": [], "w": []}
+    got = run("keys", by_key([{"$group": {"_id": "$tag", "n": {"$sum": 1}, "top": {"$max": "$v"}}}, {"$sort": {"_id": 1}}]))
+    assert {i: [tuple(x) for x in r.m] for i, r in got.items()} == {"x": [("a", 2, 7), ("b", 1, 9)], "y": [("c", 1, 1)], "w": []}
+    got = run("keys", by_key([{"$sortByCount": "$tag"}]))
+    assert [tuple(x) for x in got["x"].m] == [("a", 2), ("b", 1)]
+    got = run("keys", by_key([{"$match": {"v": {"$gt": 5}}}, {"$count": "n"}]))
+    assert {i: [x.n for x in r.m] for i, r in got.items()} == {"x": [2], "y": [], "w": []}
+    let = {"$lookup": {"from": "s", "let": {"k": "$_id"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$g", "$$k"]}}}, {"$sort": {"v": -1}}, {"$limit": 1}, {"$replaceRoot": {"newRoot": {"best": "$v"}}}], "as": "m"}}
+    assert {i: [x.best for x in r.m] for i, r in run("keys", let).items()} == {"x": [9], "y": [1], "w": []}
+    got = run("keys", {**let}, {"$unwind": "$m"})
+    assert {i: r.m.best for i, r in got.items()} == {"x": 9, "y": 1}
+
+
+def test_first_and_last_with_mixed_directions(spark, db):
+    rows = [(g, a, b, t, i) for i, (g, a, b, t) in enumerate([("p", 1, 2.0, "b"), ("p", 1, None, "a"), ("p", None, 5.0, "c"), ("p", 2, float("nan"), "d"), ("q", None, None, None), ("p", 2, 7.0, "e")])]
+    c = table(spark, db, "g string, a int, b double, t string, i int", rows, "fl")
+    for spec in ({"a": 1, "b": -1}, {"b": -1, "a": 1}, {"a": -1, "t": 1}, {"t": -1, "a": 1}):
+        got = {r._id: r for r in c.aggregate([{"$sort": spec}, {"$group": {"_id": "$g", "f": {"$first": "$i"}, "l": {"$last": "$i"}, "all": {"$push": "$i"}}}]).collect()}
+        assert all(r.f == r["all"][0] and r.l == r["all"][-1] for r in got.values()), spec
+    plan = c.aggregate([{"$sort": {"a": 1, "b": -1}}, {"$group": {"_id": "$g", "f": {"$first": "$i"}}}])._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
+def test_positional_projection_follows_the_query(spark, db):
+    c = table(spark, db, "_id int, a array<int>, d array<struct<k:string,v:int>>", [(1, [1, 5, 9], [("x", 1), ("y", 2)]), (2, [7, 8], [("y", 3), ("y", 4)])], "pp")
+    assert [r.a for r in c.find({"a": {"$gt": 4}}, {"a.$": 1}, sort={"_id": 1}).collect()] == [[5], [7]]
+    assert [[tuple(x) for x in r.d] for r in c.find({"d.k": "y"}, {"d.$": 1}, sort={"_id": 1}).collect()] == [[("y", 2)], [("y", 3)]]
+    assert [[tuple(x) for x in r.d] for r in c.find({"d": {"$elemMatch": {"k": "y", "v": {"$gt": 3}}}}, {"d.$": 1}).collect()] == [[("y", 4)]]
+    assert c.find({"_id": 1}, {"a.$": 1}).first().a == [1]
+
+
+def test_merge_of_repeated_keys(spark, db):
+    table(spark, db, "_id int, v int", [(1, 0), (2, 0)], "mt")
+    src = table(spark, db, "k int, v int, at int", [(1, 5, 2), (1, 6, 1), (3, 7, 1), (3, 8, 2), (None, 9, 1)], "ms")
+    for how, want in (("merge", {(1, 5), (2, 0), (3, 8), (None, 9)}), ("keepExisting", {(1, 0), (2, 0), (3, 7), (None, 9)})):
+        db.write("mt2", db.load("mt"))
+        src.aggregate([{"$sort": {"at": 1}}, {"$project": {"_id": "$k", "v": 1, "at": 1}}, {"$merge": {"into": "mt2", "whenMatched": how}}])
+        assert {(r._id, r.v) for r in db["mt2"].find().collect()} == want
+    with pytest.raises(Exception, match="matches"):
+        src.aggregate([{"$project": {"_id": {"$add": ["$k", 90]}, "v": 1}}, {"$merge": {"into": "mt2", "whenMatched": "fail"}}])
