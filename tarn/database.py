@@ -2,19 +2,25 @@
 
 A database is a folder; a collection is a table below it, either one parquet
 file or folder placed there by anyone (read only), or a chain of versions written
-by this module.  Changes are copy-on-write: the new version is written beside the
-old one and a small pointer file names the current one, so a reader sees either.
+by this module.  Every change adds a numbered pointer file that names the parts of
+the new version, its schema and the collection's indexes.  A pointer is written
+whole under another name and then renamed to a number that must be free, so a
+reader sees one version or the next and never neither, and of two writers that
+started from the same version one fails with ``WriteConflict`` instead of losing the
+other's change.  Inserts add a part; other changes write a new one.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,15 +29,30 @@ from tarn.functions.expr import literal
 from tarn.functions.match import compile_match
 from tarn.functions.types import PipelineError, Typed, as_type, is_null, sort_column, widest
 from tarn.functions.update import compile_update, upsert_base
+from tarn.operators.skew import join_null_safe
 from tarn.operators.stages import Frame, find_projection, run, set_fields, union_all
 from tarn.sources import cut_lineage, utc_timestamps
 
 
 class DuplicateKey(PipelineError):
-    """A unique key occurs twice (code 11000)."""
+    """A unique key occurs twice (code 11000); ``inserted`` rows of the batch went in all the same."""
 
     code = 11000
 
+    def __init__(self, message: str, inserted: int = 0) -> None:
+        super().__init__(message)
+        self.inserted = inserted
+
+
+class WriteConflict(PipelineError):
+    """Another writer changed the collection since it was read (code 112)."""
+
+    code = 112
+
+
+#: pointers kept for readers of earlier versions, and parts after which an insert writes the collection anew
+KEPT, MOST_PARTS = 2, 50
+
 
 class Database:
     """Collections below ``root``; registered DataFrames are read-only collections."""
@@ -39,7 +60,8 @@ class Database:
     def __init__(self, spark: SparkSession, root: str, tables: dict[str, DataFrame] | None = None) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self.tables = dict(tables or {})
-        self.indexes: dict[str, dict[str, dict[str, Any]]] = {}
+        self.table_indexes: dict[str, dict[str, dict[str, Any]]] = {}  #: of registered tables, which have no folder
+        self.cursors: dict[int, Iterator[list[Row]]] = {}
 
     # ---- files -----------------------------------------------------------------------------------------------------
 
@@ -59,22 +81,60 @@ class Database:
         finally:
             stream.close()
 
-    def _write_text(self, p: str, text: str) -> None:
+    def _write_new(self, p: str, text: str) -> bool:
+        """Write a file that must not exist yet, whole or not at all; false if it exists."""
+        jvm = self.spark._jvm
         fs, tmp = self._fs(), self._path(f"{p}.{uuid.uuid4().hex}")
         stream = fs.create(tmp, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        fs.delete(self._path(p), False)
-        fs.rename(tmp, self._path(p))
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current.json"
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(fs.makeQualified(tmp), fs.makeQualified(self._path(p)), none)
+            return True
+        except Exception:
+            fs.delete(tmp, False)
+            if fs.exists(self._path(p)):
+                return False
+            raise
+
+    def _numbers(self, name: str) -> list[int]:
+        fs, at = self._fs(), self._path(f"{self.root}/{name}/_pointers")
+        if not fs.exists(at):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def state(self, name: str) -> dict[str, Any]:
+        """The current pointer: ``number``, ``parts`` (null if nothing was written here yet), ``schema``, ``indexes``."""
+        for n in reversed(self._numbers(name)):
+            text = self._read_text(f"{self.root}/{name}/_pointers/{n}.json")
+            if text is not None:
+                return {"number": n, **json.loads(text)}
+        return {"number": 0, "parts": None, "schema": None, "indexes": {}}
+
+    def _advance(self, name: str, before: dict[str, Any], **changes: Any) -> None:
+        """Make a new version current; fails if another writer did so since ``before`` was read."""
+        new = {k: v for k, v in {**before, **changes}.items() if k != "number"}
+        n = before["number"] + 1
+        if not self._write_new(f"{self.root}/{name}/_pointers/{n}.json", json.dumps(new)):
+            raise WriteConflict(f"{name} was changed by another writer")
+        fs = self._fs()
+        old = [x for x in self._numbers(name) if x <= n - KEPT]
+        if old:
+            kept = [json.loads(self._read_text(f"{self.root}/{name}/_pointers/{x}.json") or "{}") for x in self._numbers(name) if x > n - KEPT]
+            alive = {p for k in kept for p in k.get("parts") or []}
+            for x in old:
+                gone = json.loads(self._read_text(f"{self.root}/{name}/_pointers/{x}.json") or "{}")
+                for p in set(gone.get("parts") or []) - alive:
+                    fs.delete(self._path(f"{self.root}/{name}/{p}"), True)
+                fs.delete(self._path(f"{self.root}/{name}/_pointers/{x}.json"), False)
 
     def location(self, name: str) -> str | None:
-        """Where the current version of a collection lies."""
-        pointer = self._read_text(self._pointer(name))
-        if pointer is not None:
-            return f"{self.root}/{name}/{json.loads(pointer)['version']}"
+        """Where a collection lies."""
+        if self.state(name)["parts"] is not None:
+            return f"{self.root}/{name}"
         flat = f"{self.root}/{name}.parquet"
         return flat if self._fs().exists(self._path(flat)) else None
 
@@ -86,34 +146,67 @@ class Database:
     def load(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
-        at = self.location(name)
-        if at is None:
+        return self._load(name, self.state(name))
+
+    def _load(self, name: str, state: dict[str, Any]) -> DataFrame:
+        if state["parts"] is not None:
+            schema = T.StructType.fromJson(state["schema"])
+            return utc_timestamps(self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{p}" for p in state["parts"]]))
+        flat = f"{self.root}/{name}.parquet"
+        if not self._fs().exists(self._path(flat)):
             return self.spark.createDataFrame([], T.StructType([]))
-        return utc_timestamps(self.spark.read.parquet(at))
+        return utc_timestamps(self.spark.read.parquet(flat))
+
+    def _new_part(self, name: str, df: DataFrame) -> str:
+        part = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.root}/{name}/{part}")
+        return part
+
+    def write(self, name: str, df: DataFrame, before: dict[str, Any] | None = None, touched: set[str] | None = None) -> None:
+        """Write a new version and make it the current one; earlier ones stay for their readers.
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """Write a new version and make it the current one; the one before stays for its readers."""
+        ``before`` is the state that ``df`` was computed from; ``touched`` names the fields
+        that may have changed (default all), so that other unique keys need no check.
+        """
         if name in self.tables:
             raise PipelineError(f"{name} is a registered table and cannot be written")
-        self._check_unique(name, df)
-        version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        before = self._read_text(self._pointer(name))
+        before = before or self.state(name)
         if not df.columns:
             raise PipelineError("a collection needs at least one field")
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        self._write_text(self._pointer(name), json.dumps({"version": version, "previous": json.loads(before)["version"] if before else None}))
-        if before and (old := json.loads(before).get("previous")):
-            self._fs().delete(self._path(f"{self.root}/{name}/{old}"), True)
-
-    def _check_unique(self, name: str, df: DataFrame) -> None:
-        for key in self.unique_keys(name, df):
+        self._check_unique(name, df, before, touched)
+        part = self._new_part(name, df)
+        self._advance(name, before, parts=[part], schema=_nullable(df.schema).jsonValue())
+
+    def append(self, name: str, df: DataFrame, before: dict[str, Any]) -> None:
+        """Add rows as a part of their own where the types agree; else, or after many parts, write anew."""
+        if before["parts"] is None or len(before["parts"]) >= MOST_PARTS:
+            old = self._load(name, before) if self.has(name) else None
+            whole = df if old is None or not old.columns else union_all(old, df)
+            self._advance(name, before, parts=[self._new_part(name, whole)], schema=_nullable(whole.schema).jsonValue())
+            return
+        old = T.StructType.fromJson(before["schema"])
+        whole = union_all(self._load(name, before), df)
+        if any(f.name in old.names and _nullable(f.dataType) != old[f.name].dataType for f in _nullable(whole.schema).fields):
+            self._advance(name, before, parts=[self._new_part(name, whole)], schema=_nullable(whole.schema).jsonValue())
+            return
+        cast = df.select(*[F.col(paths.quoted(c)).cast(whole.schema[c].dataType).alias(c) for c in df.columns])
+        self._advance(name, before, parts=[*before["parts"], self._new_part(name, cast)], schema=_nullable(whole.schema).jsonValue())
+
+    def _check_unique(self, name: str, df: DataFrame, state: dict[str, Any], touched: set[str] | None = None) -> None:
+        for key in self.unique_keys(name, df, state):
+            if touched is not None and not {k.split(".")[0] for k in key} & touched:
+                continue
             twice = df.groupBy(*[paths.resolve(df.schema, k).col.alias(f"k{i}") for i, k in enumerate(key)]).count().where("count > 1")
             if not twice.isEmpty():
                 raise DuplicateKey(f"duplicate key in {name}: {', '.join(key)}")
 
-    def unique_keys(self, name: str, df: DataFrame) -> list[list[str]]:
+    def indexes(self, name: str) -> dict[str, dict[str, Any]]:
+        return self.table_indexes.get(name, {}) if name in self.tables else self.state(name)["indexes"]
+
+    def unique_keys(self, name: str, df: DataFrame, state: dict[str, Any] | None = None) -> list[list[str]]:
         keys = [["_id"]] if "_id" in df.columns else []
-        return keys + [list(i["key"]) for i in self.indexes.get(name, {}).values() if i.get("unique")]
+        of = self.indexes(name) if state is None else state["indexes"]
+        return keys + [list(i["key"]) for i in of.values() if i.get("unique")]
 
     # ---- commands --------------------------------------------------------------------------------------------------
 
@@ -130,7 +223,7 @@ class Database:
                 n = s.getPath().getName()
                 if n.endswith(".parquet"):
                     found.add(n[: -len(".parquet")])
-                elif self._read_text(self._pointer(n)) is not None:
+                elif self.state(n)["parts"] is not None:
                     found.add(n)
         return sorted(found)
 
@@ -141,7 +234,7 @@ class Database:
         return self[name]
 
     def drop(self, name: str) -> bool:
-        self.indexes.pop(name, None)
+        self.table_indexes.pop(name, None)
         if self.tables.pop(name, None) is not None:
             return True
         return self._fs().delete(self._path(f"{self.root}/{name}"), True)
@@ -157,9 +250,9 @@ class Database:
             self.drop(new)
         if old in self.tables:
             self.tables[new] = self.tables.pop(old)
+            self.table_indexes[new] = self.table_indexes.pop(old, {})
         elif not self._fs().rename(self._path(f"{self.root}/{old}"), self._path(f"{self.root}/{new}")):
             raise PipelineError(f"no collection {old}")
-        self.indexes[new] = self.indexes.pop(old, {})
 
     def aggregate(self, pipeline: Sequence[dict]) -> DataFrame:
         """A pipeline over no collection: its stages see no rows."""
@@ -168,7 +261,60 @@ class Database:
     def stats(self, name: str) -> dict[str, Any]:
         at = self.location(name)
         size = self._fs().getContentSummary(self._path(at)).getLength() if at else 0
-        return {"ns": name, "count": self.load(name).count() if self.has(name) else 0, "storageSize": int(size), "nindexes": 1 + len(self.indexes.get(name, {}))}
+        return {"ns": name, "count": self.load(name).count() if self.has(name) else 0, "storageSize": int(size), "nindexes": 1 + len(self.indexes(name))}
+
+    def validate(self, name: str) -> dict[str, Any]:
+        """Reads every row of a collection and checks its unique keys: ``valid``, ``nrecords``, ``nIndexes``, ``errors``."""
+        if not self.has(name):
+            raise PipelineError(f"no collection {name}")
+        df, errors = self.load(name), []
+        try:
+            self._check_unique(name, df, {"indexes": self.indexes(name)})
+        except DuplicateKey as e:
+            errors.append(str(e))
+        return {"ns": name, "valid": not errors, "nrecords": df.count(), "nIndexes": 1 + len(self.indexes(name)), "errors": errors}
+
+    # ---- cursors ---------------------------------------------------------------------------------------------------
+
+    def open_cursor(self, batches: Iterator[list[Row]]) -> tuple[int, list[Row]]:
+        """The first batch and the cursor's id; id 0 when that was all."""
+        number = uuid.uuid4().int >> 66 or 1
+        self.cursors[number] = batches
+        return self._next(number)
+
+    def _next(self, number: int) -> tuple[int, list[Row]]:
+        batch = next(self.cursors[number], None)
+        ahead = next(self.cursors[number], None) if batch is not None else None
+        if ahead is None:
+            del self.cursors[number]
+            return 0, batch or []
+        rest = self.cursors[number]
+        self.cursors[number] = (b for part in ([ahead], rest) for b in part)
+        return number, batch
+
+    def get_more(self, cursor: int) -> tuple[int, list[Row]]:
+        """The next batch of a cursor, with id 0 when it is the last."""
+        if cursor not in self.cursors:
+            raise PipelineError(f"no cursor {cursor}")
+        return self._next(cursor)
+
+    def kill_cursors(self, *cursors: int) -> list[int]:
+        """Forget cursors; returns those that were open."""
+        return [c for c in cursors if self.cursors.pop(c, None) is not None]
+
+
+def list_databases(spark: SparkSession, root: str) -> list[dict[str, Any]]:
+    """Databases below a folder, each a folder with at least one collection: ``name``, ``sizeOnDisk``, ``empty``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for s in fs.listStatus(at) if fs.exists(at) else []:
+        name = s.getPath().getName()
+        if s.isDirectory() and not name.endswith(".parquet") and not name.startswith(("_", ".")):
+            size = int(fs.getContentSummary(s.getPath()).getLength())
+            if Database(spark, f"{root.rstrip('/')}/{name}").list_collections():
+                out.append({"name": name, "sizeOnDisk": size, "empty": False})
+    return sorted(out, key=lambda x: x["name"])
 
 
 class Collection:
@@ -233,55 +379,140 @@ class Collection:
         if batch:
             yield batch
 
+    def cursor(self, size: int = 101, **options: Any) -> tuple[int, list[Row]]:
+        """Open a cursor over a find: its id (0 when all fits) and the first batch."""
+        return self.db.open_cursor(self.batches(size, **options))
+
+    def for_each(self, f: Callable[[Row], None], filter: dict | None = None) -> None:
+        """Call ``f`` for every matching row, on the executors, partition by partition."""
+
+        def part(rows: Iterator[Row]) -> None:
+            for r in rows:
+                f(r)
+
+        self.find(filter).foreachPartition(part)
+
     def explain(self, filter: dict | None = None, pipeline: Sequence[dict] | None = None) -> str:
         df = self.aggregate(pipeline) if pipeline is not None else self.find(filter)
         return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
-    # ---- indexes: metadata, of which uniqueness is enforced --------------------------------------------------------
+    # ---- indexes: kept with the collection; uniqueness is enforced, and reindex lays the rows out by a key -------------
 
     def create_index(self, key: dict[str, int], name: str | None = None, unique: bool = False, **options: Any) -> str:
         name = name or "_".join(f"{k}_{d}" for k, d in key.items())
-        mine = self.db.indexes.setdefault(self.name, {})
+        new = {"key": dict(key), "name": name, "unique": unique, **options}
+        state = self.db.state(self.name)
         if unique and self.db.has(self.name):
-            df = self.df
-            twice = df.groupBy(*[paths.resolve(df.schema, k).col.alias(f"k{i}") for i, k in enumerate(key)]).count().where("count > 1")
-            if not twice.isEmpty():
-                raise DuplicateKey(f"duplicate key in {self.name}: {', '.join(key)}")
-        mine[name] = {"key": dict(key), "name": name, "unique": unique, **options}
+            self.db._check_unique(self.name, self.df, {"indexes": {name: new}})
+        if self.name in self.db.tables:
+            self.db.table_indexes.setdefault(self.name, {})[name] = new
+        else:
+            self.db._advance(self.name, state, indexes={**state["indexes"], name: new})
         return name
 
     def drop_index(self, name: str) -> None:
-        mine = self.db.indexes.get(self.name, {})
+        state = self.db.state(self.name)
+        mine = dict(self.db.indexes(self.name))
         for n in list(mine) if name == "*" else [name]:
             if n not in mine:
                 raise PipelineError(f"no index {n}")
             del mine[n]
+        if self.name in self.db.tables:
+            self.db.table_indexes[self.name] = mine
+        else:
+            self.db._advance(self.name, state, indexes=mine)
 
     def list_indexes(self) -> list[dict[str, Any]]:
-        return [{"key": {"_id": 1}, "name": "_id_", "unique": True}, *self.db.indexes.get(self.name, {}).values()]
+        return [{"key": {"_id": 1}, "name": "_id_", "unique": True}, *self.db.indexes(self.name).values()]
+
+    def reindex(self, name: str = "_id_") -> None:
+        """Write the collection anew, range-partitioned and sorted by an index's key.
+
+        Equality and range filters on its first field then skip files and row groups by
+        the statistics in parquet.  Unique keys are checked again.
+        """
+        found = [i for i in self.list_indexes() if i["name"] == name]
+        if not found:
+            raise PipelineError(f"no index {name}")
+        state = self.db.state(self.name)
+        df = self.df
+        by = [sort_column(paths.resolve(df.schema, k).col, isinstance(d, int) and d < 0) for k, d in found[0]["key"].items() if paths.exists(df.schema, k)]
+        self.db.write(self.name, df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df, state)
 
     # ---- writing ---------------------------------------------------------------------------------------------------
 
-    def insert(self, rows: DataFrame | Sequence[dict]) -> int:
-        """Append rows; a missing ``_id`` is made.  A key that exists already fails the whole batch."""
-        df = rows if isinstance(rows, DataFrame) else self._from_documents(list(rows))
+    def insert(self, rows: DataFrame | Sequence[dict], ordered: bool | None = None) -> int:
+        """Append rows; a missing ``_id`` is made.  Returns how many went in.
+
+        A row whose unique key exists already, or came earlier in the batch, raises
+        ``DuplicateKey``, which tells how many others were ``inserted``: none by default
+        (the batch is one change), with ``ordered=True`` the documents before it, and
+        with ``ordered=False`` all valid ones.  Rows of a DataFrame have no order, so
+        ``ordered=True`` inserts none of them then.
+        """
+        listed = not isinstance(rows, DataFrame)
+        df = self._from_documents(list(rows)) if listed else rows
+        state = self.db.state(self.name)
+        if self.name in self.db.tables:
+            raise PipelineError(f"{self.name} is a registered table and cannot be written")
+        old = self.df
         if "_id" not in df.columns:
-            new = F.substring(F.md5(F.concat(F.uuid(), F.uuid())), 1, 24)
-            if "_id" in self.df.columns and not isinstance(self.df.schema["_id"].dataType, T.StringType):
+            if "_id" in old.columns and not isinstance(old.schema["_id"].dataType, T.StringType):
                 raise PipelineError("_id is required here")
-            df = df.select(new.alias("_id"), "*")
+            df = df.select(F.substring(F.md5(F.concat(F.uuid(), F.uuid())), 1, 24).alias("_id"), "*")
+        df = df if listed else df.withColumn("__at", F.monotonically_increasing_id())
+        # a field that is null in every row takes the table's type
+        df = df.withColumns({paths.quoted(f.name): F.col(paths.quoted(f.name)).cast(old.schema[f.name].dataType if f.name in old.columns else T.StringType()) for f in df.schema.fields if is_null(f.dataType)})
+        df = cut_lineage(df, 1 if listed else None)  # made ids and places stay what they are
+        bad = self._repeated(old, df, state)
         n = df.count()
-        self.db.write(self.name, union_all(self.df, df) if self.db.has(self.name) else df)
-        return n
+        if bad is None or bad.isEmpty():
+            self.db.append(self.name, df.drop("__at"), state)
+            return n
+        if ordered is False:
+            good = df.join(bad, "__at", "left_anti")
+        elif ordered and listed:
+            good = df.where(F.col("__at") < bad.agg(F.min("__at")).first()[0])
+        else:
+            good = df.where(F.lit(False))
+        m = good.count()
+        if m:
+            self.db.append(self.name, good.drop("__at"), state)
+        raise DuplicateKey(f"duplicate key in {self.name}", m)
+
+    def _repeated(self, old: DataFrame, new: DataFrame, state: dict[str, Any]) -> DataFrame | None:
+        """``__at`` of the new rows whose unique keys are in the table or in an earlier new row."""
+        out = None
+        for key in self.db.unique_keys(self.name, new, state):
+            names = [f"_u{i}" for i in range(len(key))]
+            mine = new.select("__at", *[_key_column(new, k).alias(n) for k, n in zip(key, names)])
+            twice = mine.withColumn("_nth", F.row_number().over(Window.partitionBy(*names).orderBy("__at"))).where("_nth > 1").select("__at")
+            hits = twice
+            if all(paths.exists(old.schema, k) for k in key) and old.columns:
+                there = old.select(*[_key_column(old, k).alias(n) for k, n in zip(key, names)])
+                try:
+                    kinds = [widest([there.schema[n].dataType, mine.schema[n].dataType]) for n in names]
+                except PipelineError:
+                    kinds = []  # values of unlike kinds are never equal
+                if kinds:
+                    cast = lambda d: d.withColumns({n: F.col(n).cast(t) for n, t in zip(names, kinds)})
+                    hits = hits.unionByName(join_null_safe(cast(mine), cast(there), names, "left_semi").select("__at"))
+            out = hits if out is None else out.unionByName(hits)
+        return None if out is None else out.distinct()
 
     def _from_documents(self, docs: list[dict]) -> DataFrame:
+        """Documents as rows with their place ``__at``; one plan node for each set of fields and types."""
         if not docs:
             raise PipelineError("nothing to insert")
+        groups: dict[str, tuple[T.StructType, list[tuple]]] = {}
+        for i, d in enumerate(docs):
+            typed = {k: literal(v).type for k, v in d.items()}
+            schema = T.StructType([T.StructField("__at", T.LongType()), *[T.StructField(k, t) for k, t in typed.items()]])
+            groups.setdefault(schema.json(), (schema, []))[1].append((i, *[_of_type(v, t) for v, t in zip(d.values(), typed.values())]))
         out = None
-        one = self.db.spark.range(1)
-        for d in docs:
-            row = one.select(*[literal(v).col.alias(k) for k, v in d.items()])
-            out = row if out is None else union_all(out, row)
+        for schema, rows in groups.values():
+            df = self.db.spark.createDataFrame(rows, schema)
+            out = df if out is None else union_all(out, df)
         return out
 
     def _match(self, df: DataFrame, query: dict, first_only: bool, sort: dict | None = None) -> tuple[DataFrame, Column]:
@@ -290,11 +521,13 @@ class Collection:
         if not first_only:
             return df, hit
         keys = [sort_column(paths.resolve(df.schema, p).col, d < 0) for p, d in (sort or {}).items()]
-        if "_id" in df.columns:
-            keys.append(F.col("_id").asc_nulls_first())
-        # the first match is found by a top-1, not by ranking the table in one window
-        marked = df.withColumn("_at", F.monotonically_increasing_id())
-        marked = cut_lineage(marked)
+        if "_id" in df.columns and not _has_map(df.schema["_id"].dataType):
+            # ids are unique, so the first match (a top-1) tells the row without marking the table
+            first = df.where(hit).orderBy(*keys, F.col("_id").asc_nulls_first()).select("_id").limit(1)
+            found = cut_lineage(first.select(F.col("_id").alias("_first"), F.lit(True).alias("_is")), 1)
+            joined = df.join(F.broadcast(found), F.col("_id").eqNullSafe(F.col("_first")), "left")  # one row
+            return joined.withColumn("_hit", F.col("_is").isNotNull()).drop("_first", "_is"), F.col("_hit")
+        marked = cut_lineage(df.withColumn("_at", F.monotonically_increasing_id()))
         first = marked.where(hit).orderBy(*keys, "_at").limit(1).select(F.col("_at").alias("_first"))
         joined = marked.join(F.broadcast(first), F.col("_at") == F.col("_first"), "left")  # one row
         return joined.withColumn("_hit", F.col("_first").isNotNull()).drop("_at", "_first"), F.col("_hit")
@@ -304,7 +537,6 @@ class Collection:
         base = self.df
         df, hit = self._match(base, query, first_only, sort)
         marked = df.withColumn("_hit", hit)
-        marked = cut_lineage(marked)
         rows = marked.where("_hit").drop("_hit")
         new = values(base.schema)
         changed = set_fields(rows, new)
@@ -344,12 +576,16 @@ class Collection:
             new: dict[str, Typed | None] = {c: None for c in schema.names if c != "_id"}
             return _column_types(new | {k: literal(v) for k, v in update.items()}, schema)
 
+        state = self.db.state(self.name)
         whole, _, n, m = self._rewrite(query, values, not multi, sort)
         if n == 0 and upsert:
             self.insert(self._upserted(query, update, operators))
             return {"matched": 0, "modified": 0, "upserted": 1}
-        if n:
-            self.db.write(self.name, whole)
+        if m:
+            fields = [k for k in (f for spec in update.values() for f in spec)] if operators else None
+            if operators and "$rename" in update:
+                fields += list(update["$rename"].values())
+            self.db.write(self.name, whole, state, None if fields is None else {k.split(".")[0] for k in fields})
         return {"matched": n, "modified": m, "upserted": 0}
 
     def _upserted(self, query: dict, update: dict, operators: bool) -> DataFrame:
@@ -365,23 +601,25 @@ class Collection:
         return self.update(query, document, upsert=upsert)
 
     def delete(self, query: dict, one: bool = False) -> int:
+        state = self.db.state(self.name)
         df, hit = self._match(self.df, query, one)
         marked = df.withColumn("_hit", hit)
         n = marked.where("_hit").count()
         if n:
-            self.db.write(self.name, marked.where("not _hit").drop("_hit"))
+            self.db.write(self.name, marked.where("not _hit").drop("_hit"), state, set())
         return n
 
     def find_and_modify(
         self, query: dict, update: dict | None = None, remove: bool = False, sort: dict | None = None, new: bool = False, upsert: bool = False, fields: dict | None = None
     ) -> Row | None:
         """Change or remove the first match in sort order; returns it as it was, or as it is with ``new``."""
+        state = self.db.state(self.name)
         df, hit = self._match(self.df, query, True, sort)
         before = df.where(hit).drop("_hit")
         old = (find_projection(before, fields, query) if fields else before).first()
         if remove:
             if old is not None:
-                self.db.write(self.name, df.where(~hit).drop("_hit"))
+                self.db.write(self.name, df.where(~hit).drop("_hit"), state, set())
             return old
         key = {"_id": before.select("_id").first()[0]} if old is not None and "_id" in self.df.columns else query
         self.update(key, update or {}, upsert=upsert, sort=sort)
@@ -390,12 +628,17 @@ class Collection:
         return self.find_one(key if old is not None else upsert_base(query), projection=fields)
 
     def bulk_write(self, operations: Sequence[dict[str, dict]]) -> dict[str, int]:
-        """A sequence of insertOne, updateOne, updateMany, replaceOne, deleteOne, deleteMany."""
+        """A sequence of insertOne, updateOne, updateMany, replaceOne, deleteOne, deleteMany; neighbouring inserts are one."""
         out = {"inserted": 0, "matched": 0, "modified": 0, "upserted": 0, "deleted": 0}
-        for op in operations:
-            kind, a = next(iter(op.items()))
+        steps = [next(iter(op.items())) for op in operations]
+        for i, (kind, a) in enumerate(steps):
             if kind == "insertOne":
-                out["inserted"] += self.insert([a["document"]])
+                if i + 1 < len(steps) and steps[i + 1][0] == "insertOne":
+                    continue  # goes in with the next
+                first = i
+                while first and steps[first - 1][0] == "insertOne":
+                    first -= 1
+                out["inserted"] += self.insert([x["document"] for _, x in steps[first : i + 1]])
             elif kind in ("updateOne", "updateMany", "replaceOne"):
                 r = self.update(a["filter"], a.get("update") or a["replacement"], multi=kind == "updateMany", upsert=a.get("upsert", False))
                 for k, v in r.items():
@@ -407,6 +650,27 @@ class Collection:
         return out
 
 
+def _of_type(v: Any, t: T.DataType) -> Any:
+    """A value as a row of the literal's type holds it."""
+    if v is None or is_null(t):
+        return None
+    if isinstance(t, T.StructType):
+        return tuple(_of_type(v.get(f.name), f.dataType) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return [_of_type(x, t.elementType) for x in v]
+    if isinstance(t, T.TimestampType):  # without zone it is UTC
+        v = v if isinstance(v, dt.datetime) else dt.datetime(v.year, v.month, v.day)
+        return v if v.tzinfo else v.replace(tzinfo=dt.UTC)
+    if isinstance(v, re.Pattern):
+        return v.pattern
+    return float(v) if isinstance(t, T.DoubleType) else v
+
+
+def _key_column(df: DataFrame, path: str) -> Column:
+    v = paths.resolve(df.schema, path)
+    return F.lit(None).cast("string") if is_null(v.type) else v.col
+
+
 def _nullable(t: T.DataType) -> T.DataType:
     """The type with everything in it nullable."""
     if isinstance(t, T.ArrayType):
@@ -438,4 +702,4 @@ def _column_types(values: dict[str, Typed | None], schema: T.StructType) -> dict
     return out
 
 
-__all__ = ["Collection", "Database", "DuplicateKey"]
+__all__ = ["Collection", "Database", "DuplicateKey", "WriteConflict", "list_databases"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn import document
-from tarn.database import Database, DuplicateKey
+from tarn.database import Database, DuplicateKey, WriteConflict, list_databases
 from tarn.functions.expr import compile_expression
 from tarn.functions.match import compile_match
 from tarn.functions.types import PipelineError
@@ -443,3 +443,73 @@ def test_merge_of_repeated_keys(spark, db):
         assert {(r._id, r.v) for r in db["mt2"].find().collect()} == want
     with pytest.raises(Exception, match="matches"):
         src.aggregate([{"$project": {"_id": {"$add": ["$k", 90]}, "v": 1}}, {"$merge": {"into": "mt2", "whenMatched": "fail"}}])
+
+
+def test_two_handles_share_indexes_and_never_lose_a_change(spark, tmp_path):
+    a, b = (Database(spark, str(tmp_path / "db")) for _ in range(2))
+    a["c"].insert([{"_id": 1, "u": "x"}])
+    a["c"].create_index({"u": 1}, unique=True)
+    with pytest.raises(DuplicateKey):
+        b["c"].insert([{"_id": 2, "u": "x"}])
+    assert [i["name"] for i in b["c"].list_indexes()] == ["_id_", "u_1"]
+    before, read = b.state("c"), b["c"].find()
+    a["c"].insert([{"_id": 2, "u": "y"}])
+    with pytest.raises(WriteConflict):  # computed from a version that is no longer the current one
+        b.write("c", b.load("c").where("_id = 1"), before)
+    assert b["c"].count() == 2 and read.count() == 1  # a reader keeps its version
+    a["c"].update({"_id": 2}, {"$set": {"u": "z"}})
+    assert read.count() == 1 and {r.u for r in b["c"].find().collect()} == {"x", "z"}
+    with pytest.raises(DuplicateKey):
+        b["c"].update({"_id": 2}, {"$set": {"u": "x"}})
+    b["c"].drop_index("*")
+    assert a["c"].update({"_id": 2}, {"$set": {"u": "x"}})["modified"] == 1
+    assert a.validate("c") == {"ns": "c", "valid": True, "nrecords": 2, "nIndexes": 1, "errors": []}
+    assert [d["name"] for d in list_databases(spark, str(tmp_path))] == ["db"]
+
+
+def test_ordered_and_unordered_inserts(spark, db):
+    batch = [{"_id": 5, "v": 1}, {"_id": 1, "v": 2}, {"_id": 6, "v": 3}, {"_id": 6, "v": 4}, {"_id": 7, "v": None, "w": {"a": [1, 2.5]}, "t": dt.datetime(2031, 1, 1)}]
+    for ordered, want in ((None, {1}), (True, {1, 5}), (False, {1, 5, 6, 7})):
+        c = db[f"i{ordered}"]
+        c.insert([{"_id": 1, "v": 0}])
+        with pytest.raises(DuplicateKey) as e:
+            c.insert(batch, ordered=ordered)
+        assert {r._id for r in c.find().collect()} == want and e.value.inserted == len(want) - 1
+    assert db["iFalse"].find_one({"_id": 6}).v == 3
+    row = db["iFalse"].find_one({"_id": 7})
+    assert row.v is None and row.w.a == [1.0, 2.5] and row.t == dt.datetime(2031, 1, 1)
+    assert len(db.state("iFalse")["parts"]) == 2 and db["iFalse"].insert(spark.range(20, 25).selectExpr("cast(id as int) as _id", "1 as v")) == 5
+    assert len(db.state("iFalse")["parts"]) == 3  # the rows there before were not written again
+    db["iFalse"].insert([{"_id": 90, "v": 2.5}])  # a wider type is written through
+    assert dict(db["iFalse"].df.dtypes)["v"] == "double" and db["iFalse"].count() == 10
+
+
+def test_cursors_by_id(spark, db):
+    c = db["cur"]
+    c.insert([{"_id": i} for i in range(7)])
+    number, first = c.cursor(3, sort={"_id": 1})
+    again, second = db.get_more(number)
+    last, third = db.get_more(again)
+    assert [r._id for r in first + second + third] == list(range(7)) and number and last == 0
+    other, _ = c.cursor(2)
+    assert db.kill_cursors(other, 123) == [other]
+    for gone in (number, other):
+        with pytest.raises(PipelineError, match="cursor"):
+            db.get_more(gone)
+    assert c.cursor(10)[0] == 0
+
+
+def test_reindex_lays_rows_out_and_for_each_sees_all(spark, db, tmp_path):
+    c = db["lay"]
+    c.insert(spark.range(1000).selectExpr("id as _id", "cast((id * 7919) % 1000 as int) as k"))
+    c.create_index({"k": 1})
+    c.reindex("k_1")
+    lows = [r.k for r in c.df.select("k").collect()]
+    assert lows == sorted(lows) and c.count({"k": 5}) == 1
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    folder = str(seen)
+    c.for_each(lambda r: open(f"{folder}/{r._id}", "w").close(), {"k": {"$lt": 10}})
+    assert len(list(seen.iterdir())) == 10
+    with pytest.raises(PipelineError, match="no index"):
+        c.reindex("none")
