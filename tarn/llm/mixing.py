@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.skew import join_few, join_null_safe
 from tarn.sources import cut_lineage
 
 
@@ -41,9 +42,9 @@ def mixture(
     """The mixture and its report.
 
     ``docs`` has ``doc``, ``source`` and its ``tokens``; ``targets`` has ``source``,
-    ``target_share`` and ``max_repeats`` (a handful of rows, counted before they are
-    broadcast), optionally a column ``warm`` with each source's tilt in (−1, 1).
-    The tilts are centred so that the weights add up to 1 at every time.
+    ``target_share`` and ``max_repeats``, optionally a column ``warm`` with each source's
+    tilt (null is 0).  The tilts are centred so that the weights add up to 1 at every
+    time; a centred tilt outside (−1, 1) would make a weight negative and raises.
     ``total_tokens`` is the size of the mixture, by default that of all ``docs``.
 
     Mixture: ``doc``, ``source``, ``tokens``, ``epoch`` (from 0), ``position`` in [0, 1],
@@ -52,29 +53,35 @@ def mixture(
     document, or after ``max_repeats`` epochs.
 
     Report: one row per target source with ``target_share``, ``tokens_available`` (repeats
-    included), ``tokens_used``, ``share_of_size`` (of ``total_tokens``), ``share_of_mixture``
-    and ``reached`` (available tokens suffice for the target).
+    included), ``tokens_used``, ``share_of_size`` (of ``total_tokens``), ``share_of_mixture``,
+    ``lasts_until`` (the position at which the tokens placed run out, by the source's
+    schedule; null if none was placed) and ``reached`` (they last until the end,
+    but for less than a document).  All but the first two are read from the
+    documents placed in the mixture.
 
     Running totals are per bucket of the hashed order, under a prefix over bucket
-    sums, so a source with a third of all documents is never one window.
+    sums, so a source with a third of all documents is never one window.  Targets are
+    broadcast when counted to at most 100,000 and met by a salted join beyond.
 
     Defined cases: documents of unlisted or null sources are not used; a listed
     source without documents is reported with 0; null or negative token counts are 0;
     repeated targets of a source are an error; empty tables give empty results.
     """
-    spark = docs.sparkSession
-    listed = targets.select(
-        F.col(source).alias("_s"), F.col("target_share").cast("double").alias("_share"), F.col("max_repeats").cast("int").alias("_cap"), (F.col(warm).cast("double") if warm else F.lit(0.0)).alias("_tilt")
-    ).where(F.col("_s").isNotNull())
-    rows = listed.limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 target sources")
-    if len({r["_s"] for r in rows}) != len(rows):
+    listed = cut_lineage(
+        targets.select(
+            F.col(source).alias("_s"),
+            F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("_share"),
+            F.greatest(F.coalesce(F.col("max_repeats").cast("int"), F.lit(0)), F.lit(0)).alias("_cap"),
+            F.coalesce(F.col(warm).cast("double") if warm else F.lit(0.0), F.lit(0.0)).alias("_lean"),
+        ).where(F.col("_s").isNotNull()),
+        1,
+    )
+    if not listed.groupBy("_s").count().where("count > 1").isEmpty():
         raise ValueError("a source has more than one target")
-    whole = sum(r["_share"] or 0 for r in rows) or 1.0
-    mean = sum((r["_share"] or 0) * r["_tilt"] for r in rows) / whole
-    plan = spark.createDataFrame([(r["_s"], float(r["_share"] or 0), max(0, int(r["_cap"] or 0)), float(r["_tilt"] - mean)) for r in rows], "_s string, _share double, _cap int, _tilt double")
-    plan = F.broadcast(plan)  # at most 10,000 rows, as just counted
+    mean = listed.agg(F.sum(F.col("_share") * F.col("_lean")) / F.sum("_share")).first()[0] or 0.0
+    plan = listed.select("_s", "_share", "_cap", (F.col("_lean") - F.lit(float(mean))).alias("_tilt"))
+    if not plan.where(F.abs("_tilt") >= 1).isEmpty():
+        raise ValueError("a centred tilt lies outside (-1, 1)")
     n = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("long")
     all_docs = docs.select(F.col(doc).alias("_doc"), F.col(source).alias("_s"), n.alias("_n"))
     size_, count_ = all_docs.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -82,16 +89,16 @@ def mixture(
         total_tokens = float(size_)
     buckets = max(64, -(-count_ // bucket_docs))
     order = F.xxhash64(F.lit(seed), "_doc", "_n")
-    placed = all_docs.join(plan, "_s").select("_doc", "_s", "_n", "_share", "_cap", "_tilt", order.alias("_h"), F.pmod(F.shiftrightunsigned(order, 40), F.lit(buckets)).cast("int").alias("_b"))
-    sums = placed.groupBy("_s", "_b").agg(F.sum("_n").alias("_sum"))  # at most sources x buckets rows
+    placed = join_few(all_docs, plan, ["_s"], F.col("_doc")).select("_doc", "_s", "_n", "_share", "_cap", "_tilt", order.alias("_h"), F.pmod(F.shiftrightunsigned(order, 40), F.lit(buckets)).cast("int").alias("_b"))
+    sums = placed.groupBy("_s", "_b").agg(F.sum("_n").alias("_sum"), F.max("_n").alias("_most"))  # at most sources x buckets rows
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut_lineage(
-        sums.select("_s", "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy("_s")).alias("_all")), 1
+        sums.select("_s", "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy("_s")).alias("_all"), "_most"), 1
     )
     within = Window.partitionBy("_s", "_b").orderBy("_h", "_doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = (
         placed.withColumn("_upto", F.sum("_n").over(within))
-        .join(offsets.hint("merge"), ["_s", "_b"])  # the running totals are already partitioned by these
+        .join(offsets.drop("_most").hint("merge"), ["_s", "_b"])  # the running totals are already partitioned by these
         .withColumn("_start", F.col("_before") + F.col("_upto") - F.col("_n"))
     )
     demand = F.col("_share") * F.lit(float(total_tokens))
@@ -99,17 +106,15 @@ def mixture(
     turns = F.when(F.col("_all") > 0, F.floor((demand - F.col("_start") - F.col("_n") / 2) / F.col("_all")) + 1).otherwise(0)
     turns = F.least(F.col("_cap"), F.greatest(F.lit(0), turns)).cast("int")
     used = laid.withColumn("_turns", turns).where(F.col("_turns") > 0)
-    done = (F.col("_start") + F.col("epoch") * F.col("_all") + F.col("_n") / 2) / F.lit(float(total_tokens) or 1.0)
-    mixed = (
-        used.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1)))
-        .withColumn("position", _position(done, F.col("_share"), F.col("_tilt")))
-        .select(F.col("_doc").alias(doc), F.col("_s").alias(source), F.col("_n").alias(tokens), "epoch", "position")
-        .orderBy("position", F.col(doc), "epoch")
-    )
-    taken = used.groupBy("_s").agg(F.sum(F.col("_n") * F.col("_turns")).alias("_used"))
-    have = placed.groupBy("_s").agg(F.sum("_n").alias("_have"))
     size = float(total_tokens) or 1.0
-    base = plan.join(have, "_s", "left").join(taken, "_s", "left").select("_s", "_share", (F.coalesce("_have", F.lit(0)) * F.col("_cap")).alias("tokens_available"), F.coalesce("_used", F.lit(0)).alias("tokens_used"))
+    begun = F.col("_start") + F.col("epoch") * F.col("_all")
+    at = lambda upto: _position(upto / F.lit(size), F.col("_share"), F.col("_tilt"))
+    spread = used.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1))).withColumn("position", at(begun + F.col("_n") / 2))
+    mixed = spread.select(F.col("_doc").alias(doc), F.col("_s").alias(source), F.col("_n").alias(tokens), "epoch", "position").orderBy("position", F.col(doc), "epoch")
+    taken = spread.groupBy("_s").agg(F.sum("_n").alias("_used"), F.max(begun + F.col("_n")).alias("_until"))
+    have = offsets.groupBy("_s").agg(F.max("_all").alias("_have"), F.max("_most").alias("_longest"))
+    base = join_null_safe(join_null_safe(plan, have, ["_s"], "left"), taken, ["_s"], "left")
+    base = base.withColumns({"tokens_available": F.coalesce("_have", F.lit(0)) * F.col("_cap"), "tokens_used": F.coalesce("_used", F.lit(0))})
     report = base.select(
         F.col("_s").alias(source),
         F.col("_share").alias("target_share"),
@@ -117,6 +122,19 @@ def mixture(
         "tokens_used",
         (F.col("tokens_used") / F.lit(size)).alias("share_of_size"),
         (F.col("tokens_used") / F.greatest(F.lit(1), F.sum("tokens_used").over(Window.partitionBy()))).alias("share_of_mixture"),
-        (F.col("tokens_available") >= F.col("_share") * F.lit(size)).alias("reached"),
+        F.when(F.col("_until").isNotNull(), at(F.col("_until"))).alias("lasts_until"),
+        # the next document would have exceeded the demand by more than half of it
+        ((F.col("_share") <= 0) | (F.col("_until").isNotNull() & (at(F.col("_until") + F.col("_longest") / 2) >= 1 - 1e-12))).alias("reached"),
     )
     return mixed, report
+
+
+def shares_over_training(mixed: DataFrame, source: str, tokens: str, parts: int = 10) -> DataFrame:
+    """Tokens and share of each source in each of ``parts`` equal stretches of training: ``part`` (from 0), ``source``, ``tokens``, ``share``.
+
+    A document belongs to the stretch of its position.  Stretches and sources
+    without documents give no row.
+    """
+    part = F.least(F.lit(parts - 1), F.floor(F.col("position") * parts)).cast("int").alias("part")
+    cells = mixed.groupBy(part, F.col(source)).agg(F.sum(F.col(tokens)).alias(tokens))
+    return cells.select("part", source, tokens, (F.col(tokens) / F.greatest(F.lit(1), F.sum(tokens).over(Window.partitionBy("part")))).alias("share"))

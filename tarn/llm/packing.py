@@ -147,3 +147,14 @@ def pack(
         .mapInArrow(stream, out)
     )
     return packed.withColumnRenamed("_item", item)
+
+
+def usage(packed: DataFrame) -> DataFrame:
+    """Per container size: ``bin_size``, ``bins``, ``room``, ``filled``, ``unused_share``.
+
+    Every bin counts once, whatever the number of its pieces; no bins give no rows.
+    """
+    bins = packed.groupBy("bin", "bin_size").agg(F.sum("piece_size").alias("filled"))
+    return bins.groupBy("bin_size").agg(F.count(F.lit(1)).alias("bins"), F.sum("bin_size").alias("room"), F.sum("filled").alias("filled")).withColumn(
+        "unused_share", F.when(F.col("room") > 0, 1 - F.col("filled") / F.col("room"))
+    )

@@ -118,6 +118,41 @@ def test_registered_mixture_varies_over_training(spark, tmp_path):
     assert abs(early["once"] - (0.5 + 0.6 / 4)) < 0.02 and abs(early["often"] - (0.5 - 0.4 / 4)) < 0.02  # the tilts are -0.6 and 0.4 once centred
 
 
+def test_report_is_read_from_the_documents_placed(spark):
+    docs = [(i, "abc"[i % 3], 10) for i in range(3000)]
+    d = spark.createDataFrame(docs, "doc long, source string, n long")
+    t = spark.createDataFrame([("a", 0.5, 1, None), ("b", 0.3, 3, 0.4), ("c", 0.2, 1, -0.4)], "source string, target_share double, max_repeats int, warm double")
+    mix, report = mixing.mixture(d, t, "doc", "source", "n", warm="warm")
+    rep = {r.source: r for r in report.collect()}
+    assert not rep["a"].reached and rep["b"].reached and rep["c"].reached
+    # source a has two thirds of its demand, and its weight is nearly constant
+    assert abs(rep["a"].lasts_until - 2 / 3) < 0.02 and rep["b"].lasts_until > 0.999 and rep["c"].lasts_until > 0.99
+    other = {r.source: r for r in mixing.mixture(d, t.withColumn("warm", F.when(F.col("source") == "a", 0.7)), "doc", "source", "n", warm="warm")[1].collect()}
+    assert other["a"].lasts_until > rep["a"].lasts_until + 0.02 and not other["a"].reached  # a later schedule, the same shares
+    parts = {(r.part, r.source): r for r in mixing.shares_over_training(mix, "source", "n", 10).collect()}
+    assert sum(r.n for r in parts.values()) == sum(r.tokens_used for r in rep.values())
+    assert parts[9, "b"].n > 1.5 * parts[0, "b"].n and (9, "a") not in parts
+    with pytest.raises(ValueError, match="tilt"):
+        mixing.mixture(d, t.withColumn("warm", F.when(F.col("source") == "c", -3.0)), "doc", "source", "n", warm="warm")
+    assert mixing.shares_over_training(mix.limit(0), "source", "n").count() == 0
+
+
+def test_usage_counts_every_bin_once(spark):
+    rows = [(i, 300 + i % 700) for i in range(400)] + [(999, 9000)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc long, n long"), "doc", "n")
+    got = packing.usage(packed).collect()
+    assert sum(r.filled for r in got) == sum(n for _, n in rows) and sum(r.bins for r in got) == packed.select("bin").distinct().count()
+    assert all(r.room == r.bins * r.bin_size and abs(r.unused_share - (1 - r.filled / r.room)) < 1e-9 for r in got)
+    assert sum(r.filled for r in got) / sum(r.room for r in got) > 0.95
+
+
+def test_all_text_queries_are_registered():
+    import __spark_entry__ as entry
+
+    assert set(queries.QUERIES) <= set(entry.queries()) and {"p8_found", "p9_found", "p10_found"} <= set(queries.QUERIES)
+    assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
 # ---- content -------------------------------------------------------------------------------------------------------
 
 
