@@ -7,7 +7,7 @@ as text or milliseconds, and sums of floating numbers are rounded.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.database import Database
-from tarn.sources import read_table
+from tarn.database import Database, DuplicateKey
+from tarn.sources import cut_lineage, read_table, scratch_folder
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "accounts", "audit_events", "compat_reports")
 
@@ -300,8 +300,6 @@ arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best, CAST(count(*) AS INTEG
 
 # ---- scalar expressions --------------------------------------------------------------------------------------------
 
-_L = {"l_linenumber": 1}
-_LW = "WHERE l_linenumber = 1"
 _MATH = {
     "math_arithmetic": {
         "a": ({"$add": ["$l_quantity", "$l_linenumber", 3]}, "l_quantity + l_linenumber + 3"),
@@ -329,7 +327,7 @@ _MATH = {
     },
 }
 for _name, _exprs in _MATH.items():
-    project(_name, "lineitem", "l_orderkey", _exprs, _L, _LW)
+    project(_name, "lineitem", "l_orderkey", _exprs)
     project(f"{_name}_all", "lineitem", "l_orderkey", {"l_linenumber": (1, "l_linenumber"), **_exprs})
 project("compare_ops", "accounts", "account_id", {
     "a": ({"$cmp": ["$score", 50]}, "CASE WHEN score IS NULL OR score < 50 THEN -1 WHEN score = 50 THEN 0 ELSE 1 END"),
@@ -451,9 +449,10 @@ _SETS = {
     "f": ({"$anyElementTrue": [{"$map": {"input": "$tags", "as": "t", "in": {"$eq": ["$$t", "lab"]}}}]}, "coalesce(list_contains(tags, 'lab'), false)"),
     "g": ({"$allElementsTrue": [{"$map": {"input": "$tags", "as": "t", "in": {"$ne": ["$$t", "lab"]}}}]}, "CASE WHEN tags IS NULL THEN true ELSE NOT list_contains(tags, 'lab') END"),
 }
-project("set_ops", "accounts", "account_id", _SETS, {"tags": {"$exists": True}}, "WHERE tags IS NOT NULL")
 # without tags the union is of the others, intersection and difference have no size
-project("set_ops_all", "accounts", "account_id", {k: (e, {"b": f"CASE WHEN tags IS NULL THEN NULL ELSE {sql} END", "c": f"CASE WHEN tags IS NULL THEN 2 ELSE {sql} END", "d": f"CASE WHEN tags IS NULL THEN NULL ELSE {sql} END"}.get(k, sql)) for k, (e, sql) in _SETS.items()})
+_NONE = {"b": "NULL", "c": "2", "d": "NULL"}
+for _name in ("set_ops", "set_ops_all"):
+    project(_name, "accounts", "account_id", {k: (e, f"CASE WHEN tags IS NULL THEN {_NONE[k]} ELSE {sql} END" if k in _NONE else sql) for k, (e, sql) in _SETS.items()})
 project("obj_ops", "nation", "n_nationkey", {
     "a": ({"$size": {"$objectToArray": {"x": "$n_name", "y": "b"}}}, "2"),
     "b": ({"$let": {"vars": {"m": {"$arrayToObject": [[{"k": "x", "v": "$n_name"}, {"k": "y", "v": "z"}]]}}, "in": "$$m.x"}}, "n_name"),
@@ -480,10 +479,9 @@ ORACLE["json_props"] = "SELECT event_type AS type, CAST(sum(CAST(json_extract(pr
 
 def _scratch(spark: SparkSession, d: str) -> Database:
     """A writable database in the shared folder with the tables of ``d`` registered."""
-    from tarn.sources import shared_dir
-
-    db = Database(spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}")
-    db.tables = {t: read_table(spark, d, t) for t in ("nation", "customer", "supplier", "orders")}
+    db = Database(spark, scratch_folder(spark))
+    db.tables = {t: read_table(spark, d, t) for t in ("nation", "customer", "supplier", "orders", "part", "accounts")}
+    db.tables["accounts"] = db.tables["accounts"].distinct()  # whole rows are repeated
     return db
 
 
@@ -568,4 +566,240 @@ def _insert(db: Database) -> DataFrame:
     return c.find()
 
 
+# the update operators over every order, and those of arrays over every account
+
+_ORDERS = "SELECT o_orderkey AS _id, {} FROM orders"
+
+
+@changed("update_numbers", _ORDERS.format("""CASE WHEN o_orderstatus = 'F' THEN o_custkey * 3 ELSE o_custkey END AS o_custkey,
+CASE WHEN o_orderstatus = 'F' THEN least(o_totalprice, 100000.0) ELSE o_totalprice END AS o_totalprice,
+CASE WHEN o_orderstatus = 'F' THEN CAST(6 AS BIGINT) END AS bits, CASE WHEN o_orderstatus = 'F' THEN -2 END AS extra"""))
+def _update_numbers(db: Database) -> DataFrame:
+    c = _copy(db, "orders", "o_orderkey")
+    c.update({"o_orderstatus": "F"}, {"$mul": {"o_custkey": 3}, "$min": {"o_totalprice": 100000.0}, "$bit": {"bits": {"or": 7, "xor": 1}}, "$inc": {"extra": -2}}, multi=True)
+    return c.find(projection={"o_custkey": 1, "o_totalprice": 1, "bits": 1, "extra": 1})
+
+
+@changed("update_fields", _ORDERS.format("""CASE WHEN o_totalprice > 200000 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+CASE WHEN o_totalprice > 200000 THEN o_orderstatus END AS state, CASE WHEN o_totalprice > 200000 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_totalprice > 200000 AS dated"""))
+def _update_fields(db: Database) -> DataFrame:
+    c = _copy(db, "orders", "o_orderkey")
+    c.update({"o_totalprice": {"$gt": 200000}}, {"$unset": {"o_orderpriority": ""}, "$rename": {"o_orderstatus": "state"}, "$currentDate": {"seen": True}}, multi=True)
+    return c.aggregate([{"$project": {"o_orderpriority": 1, "state": 1, "o_orderstatus": 1, "dated": {"$gt": ["$seen", D(2020, 1, 1)]}}}])
+
+
+_ACCOUNTS = """SELECT account_id AS _id, array_to_string({}, ',') AS tags FROM (SELECT DISTINCT account_id, tags FROM accounts)"""
+
+
+def _tags(name: str, spec: dict, sql: str) -> None:
+    """One array update over every account, rows without tags among them."""
+
+    @changed(name, _ACCOUNTS.format(sql))
+    def run(db: Database) -> DataFrame:
+        c = _copy(db, "accounts", "account_id")
+        c.update({}, spec, multi=True)
+        return c.find().select("_id", F.array_join("tags", ",").alias("tags"))
+
+
+_tags("update_push", {"$push": {"tags": {"$each": ["zz", "aa"], "$position": 1, "$slice": 3}}}, "list_concat(coalesce(tags, [])[1:1], ['zz', 'aa'], coalesce(tags, [])[2:])[1:3]")
+_tags("update_push_sort", {"$push": {"tags": {"$each": ["mm"], "$sort": -1}}}, "list_reverse_sort(list_append(coalesce(tags, []), 'mm'))")
+_tags("update_add_to_set", {"$addToSet": {"tags": {"$each": ["lab", "new", "lab"]}}}, """list_concat(coalesce(tags, []), CASE WHEN list_contains(tags, 'lab') THEN [] ELSE ['lab'] END, CASE WHEN list_contains(tags, 'new') THEN [] ELSE ['new'] END)""")
+_tags("update_pop", {"$pop": {"tags": 1}}, "tags[:len(tags) - 1]")
+_tags("update_pop_first", {"$pop": {"tags": -1}}, "tags[2:]")
+_tags("update_pull", {"$pull": {"tags": {"$gte": "m"}}}, "list_filter(tags, lambda x: x < 'm')")
+_tags("update_pull_all", {"$pullAll": {"tags": ["lab", "beta"]}}, "list_filter(tags, lambda x: x NOT IN ('lab', 'beta'))")
+
+
+def _counts(db: Database, kinds: str, **values: Any) -> DataFrame:
+    return db.spark.createDataFrame([tuple(int(v) for v in values.values())], ", ".join(f"{k} {kinds}" for k in values))
+
+
+@changed("update_counts", """SELECT count(*) FILTER (WHERE o_orderstatus <> 'P') AS matched, count(*) FILTER (WHERE o_orderstatus = 'O') AS modified, CAST(0 AS BIGINT) AS upserted FROM orders""")
+def _update_counts(db: Database) -> DataFrame:
+    c = _copy(db, "orders", "o_orderkey")
+    r = c.update({"o_orderstatus": {"$ne": "P"}}, {"$set": {"o_orderstatus": "F"}}, multi=True)
+    return _counts(db, "bigint", **r)
+
+
+@changed("update_first_by_sort", _ORDERS.format("CASE WHEN (o_totalprice, -o_orderkey) = (SELECT max((o_totalprice, -o_orderkey)) FROM orders) THEN 'top' ELSE o_orderstatus END AS o_orderstatus"))
+def _update_first(db: Database) -> DataFrame:
+    c = _copy(db, "orders", "o_orderkey")
+    c.update({}, {"$set": {"o_orderstatus": "top"}}, sort={"o_totalprice": -1, "_id": 1})
+    return c.find(projection={"o_orderstatus": 1})
+
+
+@changed("delete_one", "SELECT o_orderkey AS _id FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'O')")
+def _delete_one(db: Database) -> DataFrame:
+    c = _copy(db, "orders", "o_orderkey")
+    c.delete({"o_orderstatus": "O"}, one=True)
+    return c.find(projection={"_id": 1})
+
+
+@changed("delete_many_orders", "SELECT o_orderkey AS _id, o_orderstatus FROM orders WHERE o_orderstatus <> 'O'")
+def _delete_orders(db: Database) -> DataFrame:
+    c = _copy(db, "orders", "o_orderkey")
+    c.delete({"o_orderstatus": "O"})
+    return c.find(projection={"o_orderstatus": 1})
+
+
+@changed("bulk_write", """SELECT o_orderkey AS _id, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL VALUES (-1, 'new'), (-2, 'replaced')""")
+def _bulk(db: Database) -> DataFrame:
+    c = _copy(db, "orders", "o_orderkey")
+    c.bulk_write(
+        [
+            {"insertOne": {"document": {"_id": -1, "o_orderstatus": "new"}}},
+            {"insertOne": {"document": {"_id": -2, "o_orderstatus": "new"}}},
+            {"insertOne": {"document": {"_id": -3, "o_orderstatus": "new"}}},
+            {"updateMany": {"filter": {"o_orderstatus": "F"}, "update": {"$set": {"o_orderstatus": "done"}}}},
+            {"replaceOne": {"filter": {"_id": -2}, "replacement": {"o_orderstatus": "replaced"}}},
+            {"deleteOne": {"filter": {"_id": -3}}},
+            {"deleteMany": {"filter": {"o_orderstatus": "P"}}},
+        ]
+    )
+    return c.find(projection={"o_orderstatus": 1})
+
+
+@changed("insert_ordered_and_unordered", """SELECT o_orderkey AS _id, o_orderstatus FROM orders UNION ALL VALUES (-1, 'a'), (-2, 'b'), (-4, 'd')""")
+def _insert_unordered(db: Database) -> DataFrame:
+    c = _copy(db, "orders", "o_orderkey")
+    twice = db.load("orders").select(F.col("o_orderkey").alias("_id"), F.lit("again").alias("o_orderstatus"))
+    for rows, ordered in (([{"_id": -1, "o_orderstatus": "a"}, {"_id": -1, "o_orderstatus": "x"}, {"_id": -9, "o_orderstatus": "x"}], True), ([{"_id": -2, "o_orderstatus": "b"}, {"_id": -1, "o_orderstatus": "x"}, {"_id": -4, "o_orderstatus": "d"}], False), (twice, False), ([{"_id": -5, "o_orderstatus": "e"}, {"_id": -4, "o_orderstatus": "x"}], None)):
+        try:
+            c.insert(rows, ordered=ordered)
+        except DuplicateKey:
+            pass
+    return c.find(projection={"o_orderstatus": 1})
+
+
+@changed("merge_repeated_keys", """SELECT c_custkey AS _id, coalesce(o.o_totalprice, -1.0) AS last_price FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY 1) o ON o_custkey = c_custkey""")
+def _merge_repeated(db: Database) -> DataFrame:
+    db.write("latest", db.load("customer").select(F.col("c_custkey").alias("_id"), F.lit(-1.0).alias("last_price")))
+    stages = [{"$sort": {"o_orderdate": 1, "o_orderkey": 1}}, {"$project": {"_id": "$o_custkey", "last_price": "$o_totalprice", "o_orderdate": 1, "o_orderkey": 1}}, {"$merge": {"into": "latest", "whenNotMatched": "discard"}}]
+    db["orders"].aggregate(stages)
+    return db["latest"].find(projection={"last_price": 1})
+
+
+@changed("find_one", "SELECT o_orderkey AS _id, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+def _find_one(db: Database) -> DataFrame:
+    c = _copy(db, "orders", "o_orderkey")
+    row = c.find_one(sort={"o_totalprice": -1, "_id": 1}, projection={"o_totalprice": 1})
+    return db.spark.createDataFrame([tuple(row)], c.find(projection={"o_totalprice": 1}).schema)
+
+
+@changed("cursor_batches", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(s_suppkey) AS BIGINT) AS total, CAST(ceil(count(*) / 30.0) AS BIGINT) AS batches FROM supplier")
+def _cursor(db: Database) -> DataFrame:
+    number, rows = db["supplier"].cursor(30)
+    n, total, batches = len(rows), sum(r.s_suppkey for r in rows), 1
+    while number:
+        number, rows = db.get_more(number)
+        n, total, batches = n + len(rows), total + sum(r.s_suppkey for r in rows), batches + 1
+    return _counts(db, "bigint", n=n, total=total, batches=batches)
+
+
+@changed("index_lookup", "SELECT o_orderkey AS _id, o_custkey FROM orders WHERE o_custkey = (SELECT max(o_custkey) FROM orders)")
+def _index(db: Database) -> DataFrame:
+    """Equality on an indexed field of rows laid out by the index, read through a second handle."""
+    c = _copy(db, "orders", "o_orderkey")
+    c.create_index({"o_custkey": 1})
+    c.reindex("o_custkey_1")
+    other = Database(db.spark, db.root)["orders_copy"]
+    top = other.find_one(sort={"o_custkey": -1}).o_custkey
+    return other.find({"o_custkey": top}, {"o_custkey": 1})
+
+
+@changed("unique_index", "SELECT DISTINCT account_id AS _id, username FROM accounts UNION ALL VALUES (-1, 'someone new')")
+def _unique(db: Database) -> DataFrame:
+    c = _copy(db, "accounts", "account_id")
+    c.create_index({"username": 1}, unique=True)
+    other = Database(db.spark, db.root)["accounts_copy"]  # the index holds for every handle
+    taken = c.find_one(sort={"_id": 1}).username
+    try:
+        other.insert([{"_id": -1, "username": "someone new"}, {"_id": -2, "username": taken}], ordered=False)
+    except DuplicateKey:
+        pass
+    return other.find(projection={"username": 1})
+
+
+@changed("collections", """SELECT 'kept' AS name, CAST(0 AS BIGINT) AS indexes, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'suppliers', CAST(1 AS BIGINT), count(*) FROM supplier""")
+def _collections(db: Database) -> DataFrame:
+    """create, rename, drop, list, stats and validate."""
+    _copy(db, "supplier", "s_suppkey").create_index({"s_name": 1})
+    db.rename("supplier_copy", "suppliers")
+    db.create("kept", "_id int, v string")
+    db.create("gone", "_id int")
+    db.drop("gone")
+    mine = [n for n in db.list_collections() if n not in db.tables]
+    checked = [db.validate(n) for n in mine]
+    return db.spark.createDataFrame([(n, db.stats(n)["nindexes"] - 1, v["nrecords"]) for n, v in zip(mine, checked) if v["valid"]], "name string, indexes bigint, n bigint")
+
+
+@changed("db_aggregate", "SELECT CAST(0 AS INTEGER) AS n")
+def _db_aggregate(db: Database) -> DataFrame:
+    return db.aggregate([{"$count": "n"}])
+
+
+# ---- more lookups, projections and filters -------------------------------------------------------------------------
+
+pipeline("lookup_top_per_key", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "pipeline": [{"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$limit": 2}, {"$project": {"_id": 0, "o_orderkey": 1}}], "as": "best"}}, {"$unwind": "$best"}, {"$project": {"c_custkey": 1, "o_orderkey": "$best.o_orderkey"}}],
+         "SELECT c_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) o JOIN customer ON c_custkey = o_custkey WHERE r <= 2")
+pipeline("lookup_group_per_key", "customer", [{"$lookup": {"from": "orders", "let": {"k": "$c_custkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$o_custkey", "$$k"]}}}, {"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}}}, {"$sort": {"n": -1, "_id": 1}}, {"$limit": 1}], "as": "s"}}, {"$project": {"c_custkey": 1, "most": {"$arrayElemAt": ["$s._id", 0]}, "n": {"$arrayElemAt": ["$s.n", 0]}}}],
+         "SELECT c_custkey, s.o_orderstatus AS most, s.n FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderstatus) AS r FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2)) s ON s.o_custkey = c_custkey AND s.r = 1")
+
+
+def _with_tags(spark: SparkSession, d: str) -> Tables:
+    t = Tables(spark, d)
+    t.tables["people"] = cut_lineage(read_table(spark, d, "accounts").distinct())
+    return t
+
+
+_PEOPLE = "p AS (SELECT DISTINCT account_id, tags FROM accounts), l AS (SELECT DISTINCT account_id, unnest(tags) AS tag FROM p)"
+
+
+def _lookup_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """How many accounts share a tag with each; each counts once however many tags they share."""
+    t = _with_tags(spark, d)
+    t.tables["others"] = t.tables["people"].where("account_id <= 40").select(F.col("account_id").alias("other"), "tags")
+    look = {"$lookup": {"from": "others", "localField": "tags", "foreignField": "tags", "as": "same"}}
+    return t["people"].aggregate([look, {"$project": {"account_id": 1, "n": {"$size": "$same"}}}])
+
+
+QUERIES["lookup_array_both"] = _lookup_arrays
+ORACLE["lookup_array_both"] = f"WITH {_PEOPLE} SELECT p.account_id, CAST((SELECT count(DISTINCT b.account_id) FROM l a JOIN l b ON a.tag = b.tag AND b.account_id <= 40 WHERE a.account_id = p.account_id) AS INTEGER) AS n FROM p"
+
+
+def _lookup_array_keys(how: list[dict]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        t = _with_tags(spark, d)
+        t.tables["wanted"] = spark.createDataFrame([("lab",), ("beta",)], "tag string")
+        return t["people"].aggregate([{"$lookup": {"from": "wanted", "localField": "tags", "foreignField": "tag", "as": "w"}}, *how, {"$project": {"account_id": 1}}])
+
+    return query
+
+
+QUERIES["lookup_array_semi"] = _lookup_array_keys([{"$match": {"w": {"$ne": []}}}, {"$unset": "w"}])
+ORACLE["lookup_array_semi"] = f"WITH {_PEOPLE} SELECT DISTINCT account_id FROM l WHERE tag IN ('lab', 'beta')"
+QUERIES["lookup_array_anti"] = _lookup_array_keys([{"$match": {"w": []}}])
+ORACLE["lookup_array_anti"] = f"WITH {_PEOPLE} SELECT account_id FROM p WHERE account_id NOT IN (SELECT account_id FROM l WHERE tag IN ('lab', 'beta'))"
+project("cond_ternary", "orders", "o_orderkey", {
+    "a": ({"$cond_ternary": [{"$gt": ["$o_totalprice", 150000]}, "high", "low"]}, "CASE WHEN o_totalprice > 150000 THEN 'high' ELSE 'low' END"),
+})
+pipeline("remove_variable", "orders", [{"$project": {"o_orderkey": 1, "o_custkey": "$$REMOVE", "o_orderstatus": 1}}, {"$set": {"o_orderstatus": "$$REMOVE", "kept": "$o_orderkey"}}], "SELECT o_orderkey, o_orderkey AS kept FROM orders")
+pipeline("redact_keep", "accounts", [{"$redact": {"$cond": [{"$eq": ["$dept", "research"]}, "$$KEEP", {"$cond": [{"$gt": ["$age", 60]}, "$$PRUNE", "$$DESCEND"]}]}}, {"$project": {"account_id": 1, "age": "$profile.age"}}],
+         "SELECT account_id, CASE WHEN dept = 'research' OR NOT coalesce(profile.age > 60, false) THEN profile.age END AS age FROM accounts")
+pipeline("match_bare_pattern", "part", [{"$match": {"p_name": re.compile("^r.*d", re.I)}}, {"$project": {"p_partkey": 1}}], "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^r.*d', 'i')")
+find("find_nested_projection", "accounts", "SELECT account_id, profile.city AS city FROM accounts", projection={"account_id": 1, "city": "$profile.city"})
+
+
+def _positional(spark: SparkSession, d: str) -> DataFrame:
+    found = Tables(spark, d)["accounts"].find({"tags": {"$gte": "m"}}, {"account_id": 1, "tags.$": 1})
+    return found.select("account_id", F.array_join("tags", ",").alias("tag"))
+
+
+QUERIES["find_positional"] = _positional
+ORACLE["find_positional"] = "SELECT account_id, list_filter(tags, lambda x: x >= 'm')[1] AS tag FROM accounts WHERE len(list_filter(tags, lambda x: x >= 'm')) > 0"
+pipeline("hashed_key_groups", "part", [{"$group": {"_id": {"$toHashedIndexKey": "$p_brand"}, "brand": {"$first": "$p_brand"}, "n": {"$sum": 1}}}, {"$project": {"_id": 0, "brand": 1, "n": 1}}], "SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY 1")
+pipeline("first_last_mixed", "orders", [{"$sort": {"o_orderdate": 1, "o_totalprice": -1}}, {"$group": {"_id": "$o_custkey", "first": {"$first": "$o_orderkey"}, "last": {"$last": "$o_orderkey"}}}, {"$project": {"_id": 0, "custkey": "$_id", "first": 1, "last": 1}}],
+         "SELECT o_custkey AS custkey, arg_min(o_orderkey, (o_orderdate, -o_totalprice)) AS first, arg_max(o_orderkey, (o_orderdate, -o_totalprice)) AS last FROM orders GROUP BY 1")
+
 __all__ = ["ORACLE", "QUERIES", "Tables"]

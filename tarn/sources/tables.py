@@ -59,10 +59,34 @@ def cut_lineage(df: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tarn-{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    _WRITTEN.append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one that is removed when the driver ends, or by ``release``."""
+    path = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove everything this driver wrote to the shared folder so far; plans made before must be done.
+
+    A driver that lives for days calls it between its jobs.
+    """
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        _remove(spark, _WRITTEN.pop())
+    return n
+
+
+#: folders written by this driver and not yet removed
+_WRITTEN: list[str] = []
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
