@@ -210,12 +210,12 @@ def spikes(
         readings = [table.column(a).cast(pa.float64()).to_numpy() for a in f]  # nulls become NaN
         n = len(days)
         impossible, stuck, outlying, score = (np.zeros(n, dtype=x) for x in (bool, bool, bool, float))
-        noises = table.column("_noise")[0].as_py()
+        noises = [table.column(f"_noise{i}")[0].as_py() for i in range(nf)]
         for i, v in enumerate(readings):
             with np.errstate(invalid="ignore"):
                 impossible |= v <= 0
             stuck |= stuck_flags(v, model.stuck)
-            flags, z = kalman_flags(days, v, model, noises[i] if noises else None)
+            flags, z = kalman_flags(days, v, model, noises[i])
             outlying |= flags
             score = np.where(np.abs(z) > np.abs(score), z, score)
         for a, b in pairs:
@@ -253,7 +253,7 @@ def spikes(
         if held:
             yield from judge(pa.Table.from_batches(held))
 
-    names_in = [*k, "_slice", "_own", "_noise", "_d", "_run", *f]
+    names_in = [*k, "_slice", "_own", *[f"_noise{i}" for i in range(nf)], "_d", "_run", *f]
     found = rows.select(*names_in).repartition(*k, "_slice").sortWithinPartitions(*k, "_slice", "_d", "_run").mapInArrow(stream, schema)
     return found.select(
         *[F.col(a).alias(c) for c, a in zip(source, k, strict=True)],
@@ -267,14 +267,14 @@ def spikes(
 
 
 def _sliced(rows: DataFrame, k: list[str], f: list[str], slice_rows: int, context: int, model: SpikeModel) -> DataFrame:
-    """Add ``_slice``, ``_own`` and ``_noise`` (a variance per field, null where the slice is the whole source).
+    """Add ``_slice``, ``_own`` and ``_noise0``, ... (a variance per field, null where the slice is the whole source).
 
     The table of sources of more than one slice is broadcast when it has been
     counted to at most a thousand rows; beyond that it is joined like any other.
     """
     big = cut_lineage(rows.groupBy(*k).count().where(F.col("count") > slice_rows).drop("count"))
     many = big.limit(1001).count()
-    whole = rows.withColumns({"_slice": F.lit(0).cast("long"), "_own": F.lit(True), "_noise": F.lit(None).cast("array<double>")})
+    whole = rows.withColumns({"_slice": F.lit(0).cast("long"), "_own": F.lit(True), **{f"_noise{i}": F.lit(None).cast("double") for i in range(len(f))}})
     if not many:
         return whole
     few = many <= 1000
@@ -300,8 +300,7 @@ def _sliced(rows: DataFrame, k: list[str], f: list[str], slice_rows: int, contex
     per = middle.select(*k, "_field", F.pow(F.greatest(noise, F.lit(model.floor_noise)), F.lit(2.0)).alias("_v"))
     wide = big
     for i in range(len(f)):
-        one = per.where(F.col("_field") == i).select(*k, F.col("_v").alias(f"_n{i}"))
+        one = per.where(F.col("_field") == i).select(*k, F.col("_v").alias(f"_noise{i}"))
         wide = join_null_safe(wide, one, k, "left")
-    none = noise_of(0.0, 0, model)
-    wide = cut_lineage(wide.select(*k, F.array(*[F.coalesce(F.col(f"_n{i}"), F.lit(none)) for i in range(len(f))]).alias("_noise")))
+    wide = cut_lineage(wide.fillna(noise_of(0.0, 0, model), [f"_noise{i}" for i in range(len(f))]))
     return small.unionByName(join_null_safe(cut, wide, k, broadcast=few).select(*small.columns))
