@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn import document
 from tarn.database import Database, DuplicateKey
 from tarn.sources import cut_lineage, read_table, scratch_folder
 
@@ -802,4 +803,29 @@ pipeline("hashed_key_groups", "part", [{"$group": {"_id": {"$toHashedIndexKey":
 pipeline("first_last_mixed", "orders", [{"$sort": {"o_orderdate": 1, "o_totalprice": -1}}, {"$group": {"_id": "$o_custkey", "first": {"$first": "$o_orderkey"}, "last": {"$last": "$o_orderkey"}}}, {"$project": {"_id": 0, "custkey": "$_id", "first": 1, "last": 1}}],
          "SELECT o_custkey AS custkey, arg_min(o_orderkey, (o_orderdate, -o_totalprice)) AS first, arg_max(o_orderkey, (o_orderdate, -o_totalprice)) AS last FROM orders GROUP BY 1")
 
+# ---- documents of no fixed schema: the JSON texts of the audit log, broken ones among them ---------------------------
+
+_J = "j AS (SELECT event_id, CASE WHEN json_valid(details) THEN CAST(details AS JSON) END AS doc FROM audit_events)"
+
+
+def documents(name: str, stages: list[dict], columns: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """A pipeline in document mode over the details of every audit event; texts that are no JSON are no documents."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        docs = document.documents(spark, read_table(spark, d, "audit_events"), "details")
+        return columns(document.aggregate(docs.where("doc IS NOT NULL"), stages))
+
+    QUERIES[name] = query
+    ORACLE[name] = f"WITH {_J} {sql}"
+
+
+documents("doc_match", [{"$match": {"durMs": {"$type": "int", "$gt": 4000, "$mod": [10, 7]}, "$or": [{"mech": {"$regex": "^scram", "$options": "i"}}, {"opts.dry": True}, {"keys": {"$exists": False}}]}}, {"$count": "n"}], lambda df: df,
+          "SELECT CAST(count(*) AS INTEGER) AS n FROM j WHERE json_type(doc, '$.durMs') IN ('UBIGINT', 'BIGINT') AND CAST(doc->>'durMs' AS BIGINT) > 4000 AND CAST(doc->>'durMs' AS BIGINT) % 10 = 7 AND (coalesce(regexp_matches(doc->>'mech', '^scram', 'i'), false) OR coalesce(doc->>'$.opts.dry' = 'true', false) OR NOT json_exists(doc, '$.keys'))")
+documents("doc_missing_and_null", [{"$group": {"_id": "$opts.tier", "n": {"$sum": 1}}}, {"$sort": {"n": -1}}], lambda df: df.select(F.coalesce(F.to_json("_id"), F.lit("null")).alias("tier"), "n"),
+          "SELECT coalesce(CAST(json_extract(doc, '$.opts.tier') AS VARCHAR), 'null') AS tier, count(*) AS n FROM j WHERE doc IS NOT NULL GROUP BY 1")
+documents("doc_group", [{"$group": {"_id": "$mech", "n": {"$sum": 1}, "total": {"$sum": "$durMs"}, "top": {"$max": "$keys"}}}], lambda df: df.select(F.try_variant_get("_id", "$", "string").alias("mech"), "n", "total", F.try_variant_get("top", "$", "double").alias("top")),
+          "SELECT doc->>'mech' AS mech, count(*) AS n, coalesce(sum(CAST(doc->>'durMs' AS DOUBLE)), 0) AS total, CAST(max(CAST(doc->>'keys' AS BIGINT)) AS DOUBLE) AS top FROM j WHERE doc IS NOT NULL GROUP BY 1")
+documents("doc_project_sort", [{"$match": {"keys": {"$gte": 35}}}, {"$project": {"durMs": 1, "who": "$mech", "dry": "$opts.dry"}}, {"$match": {"$expr": {"$gt": ["$durMs", 6900]}}}], lambda df: document.project(df, {"ms": "durMs:bigint", "who": "who:string", "dry": "dry:boolean"}),
+          "SELECT CAST(doc->>'durMs' AS BIGINT) AS ms, doc->>'mech' AS who, CAST(doc->>'$.opts.dry' AS BOOLEAN) AS dry FROM j WHERE CAST(doc->>'keys' AS BIGINT) >= 35 AND CAST(doc->>'durMs' AS BIGINT) > 6900")
+
 __all__ = ["ORACLE", "QUERIES", "Tables"]

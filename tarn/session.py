@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -24,4 +28,28 @@ def session(app: str = "tarn", master: str | None = None, shuffle_partitions: in
     settings.update(conf)
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a session, once per driver, as one archive.
+
+    Functions that run there import it by name.  Where it is installed on every
+    machine (``pip install``) the archive is not looked at.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tarn-package-")) / "tarn.zip"  # the driver's own; Spark copies it on
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, str(f.relative_to(here.parent)))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
+#: applications whose executors have the package
+_SHIPPED: set[str] = set()

@@ -513,3 +513,31 @@ def test_reindex_lays_rows_out_and_for_each_sees_all(spark, db, tmp_path):
     assert len(list(seen.iterdir())) == 10
     with pytest.raises(PipelineError, match="no index"):
         c.reindex("none")
+
+
+def test_document_filters_and_stages(spark):
+    texts = [
+        '{"i":1,"a":[1,5,9],"s":"Hello","d":[{"k":"x","n":3},{"k":"y","n":8}],"o":{"p":6}}',
+        '{"i":2,"a":7,"s":["abc","Hey"],"d":{"k":"y","n":1},"o":{"p":6.0}}',
+        '{"i":3,"a":[],"s":null,"o":{"p":"6"}}',
+        '{"i":4,"o":{}}',
+    ]
+    d = document.documents(spark, texts)
+    hit = lambda spec: {r.i for r in document.project(document.match(d, spec), {"i": "i:int"}).collect()}
+    assert hit({"a": {"$gt": 6}}) == {1, 2} and hit({"a": {"$all": [1, 9]}}) == {1} and hit({"a": {"$mod": [4, 1]}}) == {1}
+    assert hit({"s": {"$regex": "^he", "$options": "i"}}) == {1, 2} and hit({"s": re.compile("^he")}) == set() and hit({"s": {"$in": [re.compile("llo")]}}) == {1}
+    assert hit({"d.k": "y"}) == {1, 2} and hit({"d.n": {"$lt": 2}}) == {2} and hit({"d": {"$elemMatch": {"k": "x", "n": {"$gt": 2}}}}) == {1}
+    assert hit({"a": {"$elemMatch": {"$gt": 5, "$lt": 9}}}) == set() and hit({"a": {"$elemMatch": {"$gte": 5, "$lt": 9}}}) == {1}
+    assert hit({"o.p": 6}) == {1, 2} and hit({"o": {"p": 6}}) == {1, 2} and hit({"a": {"$not": {"$size": 0}}}) == {1, 2, 4} and hit({"a": {"$bitsAllSet": 5}}) == {1, 2}
+    assert hit({"d.k": {"$ne": "y"}}) == {3, 4} and hit({"$expr": {"$gt": ["$o.p", "$i"]}}) == {1, 2, 3} and hit({"$expr": {"$and": [{"$eq": ["$o.p", 6]}, {"$not": [{"$lt": ["$i", 2]}]}]}}) == {2}
+    for bad in ({"a": {"$where": "x"}}, {"$text": "x"}, {"a": {"$mod": [0, 1]}}, {"$expr": {"$add": [1, 2]}}):
+        with pytest.raises(PipelineError):
+            document.match(d, bad)
+    got = document.aggregate(d, [{"$group": {"_id": "$o.p", "n": {"$sum": 1}, "total": {"$sum": "$i"}, "mean": {"$avg": "$a"}, "top": {"$max": "$i"}, "all": {"$push": "$i"}}}])
+    rows = {(r.n, r.total, r.mean, str(r.top.toPython()), len(r["all"])) for r in got.collect()}
+    assert rows == {(2, 3.0, 7.0, "2", 2), (1, 3.0, None, "3", 1), (1, 4.0, None, "4", 1)}
+    one = document.aggregate(d, [{"$unwind": "$d"}, {"$project": {"k": "$d.k", "i": "$_doc.i", "c": {"$literal": 5}}}, {"$sort": {"i": 1, "k": -1}}, {"$skip": 1}, {"$limit": 2}])
+    assert [r.doc.toPython() for r in one.collect()] == [{"k": "x", "i": 1, "c": 5}, {"k": "y", "i": 2, "c": 5}]
+    assert document.aggregate(d, [{"$match": {"i": {"$gt": 1}}}, {"$count": "n"}]).first().n == 3
+    assert document.aggregate(d, [{"$sortByCount": "$nothing"}]).first()["count"] == 4
+    assert document.aggregate(d.limit(0), [{"$group": {"_id": None, "n": {"$sum": 1}}}]).count() == 0
