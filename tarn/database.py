@@ -1,8 +1,8 @@
 """Databases and collections: named tables with document-style commands.
 
-A database is a folder; a collection is a table below it, either one parquet
-file or folder placed there by anyone (read only), or a chain of versions written
-by this module.  Every change adds a numbered pointer file that names the parts of
+A database is a folder; a collection is a table below it, either a file or folder
+in a known format placed there by anyone (read only), or a chain of versions
+written by this module.  Every change adds a numbered pointer file that names the parts of
 the new version, its schema and the collection's indexes.  A pointer is written
 whole under another name and then renamed to a number that must be free, so a
 reader sees one version or the next and never neither, and of two writers that
@@ -31,7 +31,7 @@ from tarn.functions.types import PipelineError, Typed, as_type, is_null, sort_co
 from tarn.functions.update import compile_update, upsert_base
 from tarn.operators.skew import join_null_safe
 from tarn.operators.stages import Frame, find_projection, run, set_fields, union_all
-from tarn.sources import cut_lineage, utc_timestamps
+from tarn.sources import FORMATS, cut_lineage, read_files, utc_timestamps
 
 
 class DuplicateKey(PipelineError):
@@ -135,8 +135,12 @@ class Database:
         """Where a collection lies."""
         if self.state(name)["parts"] is not None:
             return f"{self.root}/{name}"
-        flat = f"{self.root}/{name}.parquet"
-        return flat if self._fs().exists(self._path(flat)) else None
+        return self._flat(name)
+
+    def _flat(self, name: str) -> str | None:
+        """A file or folder of that name in any known format, put there by anyone."""
+        fs = self._fs()
+        return next((p for s in FORMATS if fs.exists(self._path(p := f"{self.root}/{name}.{s}"))), None)
 
     # ---- the catalog of stages -------------------------------------------------------------------------------------
 
@@ -152,10 +156,8 @@ class Database:
         if state["parts"] is not None:
             schema = T.StructType.fromJson(state["schema"])
             return utc_timestamps(self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{p}" for p in state["parts"]]))
-        flat = f"{self.root}/{name}.parquet"
-        if not self._fs().exists(self._path(flat)):
-            return self.spark.createDataFrame([], T.StructType([]))
-        return utc_timestamps(self.spark.read.parquet(flat))
+        flat = self._flat(name)
+        return self.spark.createDataFrame([], T.StructType([])) if flat is None else read_files(self.spark, flat)
 
     def _new_part(self, name: str, df: DataFrame) -> str:
         part = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
@@ -221,8 +223,8 @@ class Database:
         if fs.exists(root):
             for s in fs.listStatus(root):
                 n = s.getPath().getName()
-                if n.endswith(".parquet"):
-                    found.add(n[: -len(".parquet")])
+                if n.rpartition(".")[2] in FORMATS:
+                    found.add(n.rpartition(".")[0])
                 elif self.state(n)["parts"] is not None:
                     found.add(n)
         return sorted(found)

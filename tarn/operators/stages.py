@@ -6,6 +6,7 @@ DataFrame have none.  The whole pipeline is checked before any data is touched.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
@@ -423,13 +424,16 @@ def _bucket_auto(f: Frame, spec: Any) -> Frame:
     if k < 1:
         raise PipelineError("buckets must be positive")
     key = compile_expression(spec["groupBy"], f.schema)
-    placed = ranked(f.df.withColumn("_key", key.col), [], [F.col("_key").asc_nulls_first()], "_place", "_all")
+    output = spec.get("output") or {"count": {"$sum": 1}}
+    # only fields that the accumulators or the order may name are written
+    said = json.dumps(output, default=str, ensure_ascii=False) + " ".join(p for p, _ in f.order)
+    kept = [F.col(paths.quoted(c)) for c in f.df.columns if c in said or "$$" in said]
+    placed = ranked(f.df.select(*kept, key.col.alias("_key")), [], [F.col("_key").asc_nulls_first()], "_place", "_all")
     at = F.col("_place")
     q, r = F.expr(f"_all div {k}"), F.expr(f"_all % {k}")
     big = r * (q + 1)
     bucket = F.when(at < big, F.floor(at / F.greatest(q + 1, F.lit(1)))).otherwise(r + F.floor((at - big) / F.greatest(q, F.lit(1))))
     order = f.order_columns()
-    output = spec.get("output") or {"count": {"$sum": 1}}
     aggs = [accumulate(a, f.schema, order, name).col.alias(name) for name, a in output.items()]
     df = (
         placed.withColumn("_bucket", bucket.cast("long"))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tarn import document
 from tarn.database import Database, DuplicateKey
 from tarn.sources import cut_lineage, read_table, scratch_folder
+from tarn.streaming.pipelines import stream_pipeline, windowed_group
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "accounts", "audit_events", "compat_reports")
 
@@ -828,4 +829,40 @@ documents("doc_group", [{"$group": {"_id": "$mech", "n": {"$sum": 1}, "total": {
 documents("doc_project_sort", [{"$match": {"keys": {"$gte": 35}}}, {"$project": {"durMs": 1, "who": "$mech", "dry": "$opts.dry"}}, {"$match": {"$expr": {"$gt": ["$durMs", 6900]}}}], lambda df: document.project(df, {"ms": "durMs:bigint", "who": "who:string", "dry": "dry:boolean"}),
           "SELECT CAST(doc->>'durMs' AS BIGINT) AS ms, doc->>'mech' AS who, CAST(doc->>'$.opts.dry' AS BOOLEAN) AS dry FROM j WHERE CAST(doc->>'keys' AS BIGINT) >= 35 AND CAST(doc->>'durMs' AS BIGINT) > 6900")
 
+# ---- streams: every event read as a stream, in small batches, to the end -----------------------------------------------
+
+
+def _stream(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The events as a stream of files, and a folder for its results."""
+    folder = scratch_folder(spark)
+    events = read_table(spark, d, "events")
+    events.repartition(8, "event_id").write.parquet(f"{folder}/in")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "3").parquet(f"{folder}/in"), folder
+
+
+def _drained(df: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Run a stream to its end; each batch is appended, or in complete mode replaces the one before."""
+    out = f"{folder}/out"
+    write = lambda b, _: b.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def _stream_rows(spark: SparkSession, d: str) -> DataFrame:
+    stream, folder = _stream(spark, d)
+    return _drained(stream_pipeline(stream, [{"$match": {"value": {"$gte": 20}}}, {"$project": {"event_id": 1, "twice": {"$multiply": ["$value", 2]}}}]), folder, "append")
+
+
+def _stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    stream, folder = _stream(spark, d)
+    grouped = windowed_group(stream, "ts", {"_id": "$event_type", "n": {"$sum": 1}, "top": {"$max": "$value"}}, "1 hour")
+    return _drained(grouped, folder, "complete").select(F.unix_micros("start").alias("start_us"), F.col("_id").alias("type"), "n", "top")
+
+
+QUERIES |= {"stream_rows": _stream_rows, "stream_windows": _stream_windows}
+ORACLE |= {
+    "stream_rows": "SELECT event_id, value * 2 AS twice FROM events WHERE value >= 20",
+    "stream_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type AS type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2",
+}
+
 __all__ = ["ORACLE", "QUERIES", "Tables"]

@@ -31,6 +31,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return utc_timestamps(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+#: how files of a suffix are read and written: Spark's format and its options
+FORMATS: dict[str, tuple[str, dict[str, str]]] = {
+    "parquet": ("parquet", {}),
+    "orc": ("orc", {}),
+    "json": ("json", {}),
+    "jsonl": ("json", {}),
+    "csv": ("csv", {"header": "true"}),
+    "txt": ("text", {}),
+}
+
+
+def _kind(path: str, kind: str | None) -> tuple[str, dict[str, str]]:
+    suffix = kind or path.rstrip("/").rpartition(".")[2].lower()
+    if suffix not in FORMATS:
+        raise ValueError(f"no format for {path}; known are {', '.join(FORMATS)}")
+    return FORMATS[suffix]
+
+
+def read_files(spark: SparkSession, path: str, kind: str | None = None, schema: T.StructType | str | None = None, **options: str) -> DataFrame:
+    """A file or folder in one of ``FORMATS``, by default as its suffix says.
+
+    Without ``schema`` JSON is read once more to infer it, and the columns of CSV are
+    texts; over much data a schema should be given.
+    """
+    name, own = _kind(path, kind)
+    reader = spark.read.format(name).options(**own, **options)
+    return utc_timestamps((reader.schema(schema) if schema is not None else reader).load(path))
+
+
+def write_files(df: DataFrame, path: str, kind: str | None = None, mode: str = "errorifexists", **options: str) -> None:
+    """Write a folder in one of ``FORMATS``, by default as its suffix says."""
+    name, own = _kind(path, kind)
+    df.write.format(name).options(**own, **options).mode(mode).save(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 

@@ -541,3 +541,17 @@ def test_document_filters_and_stages(spark):
     assert document.aggregate(d, [{"$match": {"i": {"$gt": 1}}}, {"$count": "n"}]).first().n == 3
     assert document.aggregate(d, [{"$sortByCount": "$nothing"}]).first()["count"] == 4
     assert document.aggregate(d.limit(0), [{"$group": {"_id": None, "n": {"$sum": 1}}}]).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc", "json", "jsonl", "csv"])
+def test_files_of_every_format_are_collections(spark, tmp_path, kind):
+    from tarn.sources import read_files, write_files
+
+    df = spark.createDataFrame([(1, "a,b", 2.5), (2, None, -1.0), (3, "ü\"x", None)], "id int, s string, x double")
+    write_files(df, f"{tmp_path}/t.{kind}")
+    back = read_files(spark, f"{tmp_path}/t.{kind}", schema="id int, s string, x double")
+    assert sorted(back.collect()) == sorted(df.collect())
+    db = Database(spark, str(tmp_path))
+    assert db.list_collections() == ["t"] and db["t"].count() == 3
+    with pytest.raises(ValueError, match="format"):
+        read_files(spark, f"{tmp_path}/t.xyz")
