@@ -453,7 +453,8 @@ class Collection:
         ``ordered=True`` inserts none of them then.
         """
         listed = not isinstance(rows, DataFrame)
-        df = self._from_documents(list(rows)) if listed else rows
+        rows = list(rows) if listed else rows
+        df = self._from_documents(rows) if listed else rows
         state = self.db.state(self.name)
         if self.name in self.db.tables:
             raise PipelineError(f"{self.name} is a registered table and cannot be written")
@@ -467,7 +468,7 @@ class Collection:
         df = df.withColumns({paths.quoted(f.name): F.col(paths.quoted(f.name)).cast(old.schema[f.name].dataType if f.name in old.columns else T.StringType()) for f in df.schema.fields if is_null(f.dataType)})
         df = cut_lineage(df, 1 if listed else None)  # made ids and places stay what they are
         bad = self._repeated(old, df, state)
-        n = df.count()
+        n = len(rows) if listed else df.count()
         if bad is None or bad.isEmpty():
             self.db.append(self.name, df.drop("__at"), state)
             return n

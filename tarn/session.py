@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import zipfile
 from pathlib import Path
@@ -34,20 +35,34 @@ def session(app: str = "tarn", master: str | None = None, shuffle_partitions: in
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors of a session, once per driver, as one archive.
+    """Send this package to the executors of a session, once per application, as one archive.
 
-    Functions that run there import it by name.  Where it is installed on every
-    machine (``pip install``) the archive is not looked at.
+    Functions that run there import it by name.  The archive lies in the shared
+    folder of ``spark.checkpoint.dir``; where that is unset and the session runs in one
+    process it lies in a temporary folder, and on any other cluster nothing is
+    sent.  Where the package is installed on every machine it is not looked at.
     """
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
     here = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="tarn-package-")) / "tarn.zip"  # the driver's own; Spark copies it on
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(here.rglob("*.py")):
             z.write(f, str(f.relative_to(here.parent)))
-    context.addPyFile(str(archive))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        archive = f"{shared.rstrip('/')}/tarn-{context.applicationId}.zip"
+        at = spark._jvm.org.apache.hadoop.fs.Path(archive)
+        stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        stream.write(bytearray(held.getvalue()))
+        stream.close()
+    elif context.master == "local" or context.master.startswith("local["):
+        archive = f"{tempfile.mkdtemp(prefix='tarn-package-')}/tarn.zip"
+        Path(archive).write_bytes(held.getvalue())
+    else:
+        return
+    context.addPyFile(archive)
     _SHIPPED.add(context.applicationId)
 
 

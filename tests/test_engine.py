@@ -555,3 +555,24 @@ def test_files_of_every_format_are_collections(spark, tmp_path, kind):
     assert db.list_collections() == ["t"] and db["t"].count() == 3
     with pytest.raises(ValueError, match="format"):
         read_files(spark, f"{tmp_path}/t.xyz")
+
+
+def test_executors_get_the_package(tmp_path):
+    """With the package on the driver's path alone, workers import it from the archive."""
+    import subprocess
+    import sys
+    import textwrap
+
+    code = f"""
+        import sys
+        sys.path.insert(0, {str(__import__("pathlib").Path(document.__file__).parent.parent)!r})
+        from tarn.session import session
+        spark = session("ship", "local[1]", 1)
+        def where(rows):
+            import tarn
+            yield tarn.__file__
+        print("FOUND", spark.sparkContext.parallelize([1], 1).mapPartitions(where).collect())
+    """
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=300)
+    assert "FOUND" in out.stdout and ".zip/tarn" in out.stdout, out.stderr[-800:]
