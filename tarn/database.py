@@ -61,7 +61,7 @@ class Database:
         self.spark, self.root = spark, root.rstrip("/")
         self.tables = dict(tables or {})
         self.table_indexes: dict[str, dict[str, dict[str, Any]]] = {}  #: of registered tables, which have no folder
-        self.cursors: dict[int, Iterator[list[Row]]] = {}
+        self.cursors: dict[int, tuple[list[Row], Iterator[list[Row]]]] = {}  #: the batch read ahead and those after it
 
     # ---- files -----------------------------------------------------------------------------------------------------
 
@@ -280,25 +280,21 @@ class Database:
 
     def open_cursor(self, batches: Iterator[list[Row]]) -> tuple[int, list[Row]]:
         """The first batch and the cursor's id; id 0 when that was all."""
-        number = uuid.uuid4().int >> 66 or 1
-        self.cursors[number] = batches
-        return self._next(number)
+        return self._hand_out(uuid.uuid4().int >> 66 or 1, next(batches, []), batches)
 
-    def _next(self, number: int) -> tuple[int, list[Row]]:
-        batch = next(self.cursors[number], None)
-        ahead = next(self.cursors[number], None) if batch is not None else None
+    def _hand_out(self, number: int, batch: list[Row], rest: Iterator[list[Row]]) -> tuple[int, list[Row]]:
+        """A batch, and the one after it read ahead to tell whether there is any."""
+        ahead = next(rest, None)
         if ahead is None:
-            del self.cursors[number]
-            return 0, batch or []
-        rest = self.cursors[number]
-        self.cursors[number] = (b for part in ([ahead], rest) for b in part)
+            return 0, batch
+        self.cursors[number] = (ahead, rest)
         return number, batch
 
     def get_more(self, cursor: int) -> tuple[int, list[Row]]:
-        """The next batch of a cursor, with id 0 when it is the last."""
+        """The next batch of a cursor, with id 0 when it is the last; a cursor whose reading fails is gone."""
         if cursor not in self.cursors:
             raise PipelineError(f"no cursor {cursor}")
-        return self._next(cursor)
+        return self._hand_out(cursor, *self.cursors.pop(cursor))
 
     def kill_cursors(self, *cursors: int) -> list[int]:
         """Forget cursors; returns those that were open."""

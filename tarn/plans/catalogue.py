@@ -692,11 +692,14 @@ def _find_one(db: Database) -> DataFrame:
 @changed("cursor_batches", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(s_suppkey) AS BIGINT) AS total, CAST(ceil(count(*) / 30.0) AS BIGINT) AS batches FROM supplier")
 def _cursor(db: Database) -> DataFrame:
     number, rows = db["supplier"].cursor(30)
-    n, total, batches = len(rows), sum(r.s_suppkey for r in rows), 1
-    while number:
-        number, rows = db.get_more(number)
-        n, total, batches = n + len(rows), total + sum(r.s_suppkey for r in rows), batches + 1
-    return _counts(db, "bigint", n=n, total=total, batches=batches)
+    n, total, batches = 0, None, 0
+    while rows:
+        keys = [r.s_suppkey for r in rows if r.s_suppkey is not None]
+        n, batches = n + len(rows), batches + 1
+        if keys:
+            total = (total or 0) + sum(keys)
+        number, rows = db.get_more(number) if number else (0, [])
+    return db.spark.createDataFrame([(n, total, batches)], "n bigint, total bigint, batches bigint")
 
 
 @changed("index_lookup", "SELECT o_orderkey AS _id, o_custkey FROM orders WHERE o_custkey = (SELECT max(o_custkey) FROM orders)")

@@ -499,6 +499,30 @@ def test_cursors_by_id(spark, db):
     assert c.cursor(10)[0] == 0
 
 
+def test_cursors_have_any_number_of_batches(spark, db):
+    db.tables["many"] = spark.range(3000)
+    number, rows = db["many"].cursor(1, sort={"id": 1})
+    seen = [rows]
+    while number:
+        number, rows = db.get_more(number)
+        seen.append(rows)
+    assert [[r.id for r in b] for b in seen] == [[i] for i in range(3000)] and not db.cursors
+
+
+def test_a_cursor_that_fails_does_not_end_as_if_all_were_read(db):
+    def broken():
+        yield [1]
+        yield [2]
+        raise ValueError("lost")
+
+    number, first = db.open_cursor(broken())
+    assert number and first == [1]
+    with pytest.raises(ValueError, match="lost"):
+        db.get_more(number)
+    with pytest.raises(PipelineError, match="no cursor"):
+        db.get_more(number)
+
+
 def test_reindex_lays_rows_out_and_for_each_sees_all(spark, db, tmp_path):
     c = db["lay"]
     c.insert(spark.range(1000).selectExpr("id as _id", "cast((id * 7919) % 1000 as int) as k"))

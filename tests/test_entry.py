@@ -55,6 +55,18 @@ def test_set_operators_cover_accounts_without_tags(spark, sql):
     assert bare <= {r.account_id for r in got if tuple(r)[1:] == (False, None, 2, None, False, False, True)}
 
 
+@pytest.mark.parametrize("n, key", [(0, "i"), (31, "NULL"), (60, "nullif(i % 7, 0)"), (40000, "i")])
+def test_cursor_reads_suppliers_of_any_number(spark, tmp_path, n, key):
+    c = duckdb.connect()
+    for f in os.listdir(DATA):
+        os.symlink(f"{DATA}/{f}", tmp_path / f)
+    os.remove(tmp_path / "supplier.parquet")
+    c.execute(f"COPY (SELECT CAST({key} AS BIGINT) AS s_suppkey, 'x' AS s_name, 1 AS s_nationkey, 0.5 AS s_acctbal FROM range({n}) t(i)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    got = entry.queries()["cursor_batches"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == c.execute(entry.oracle_sql()["cursor_batches"]).fetchall()
+
+
 def test_every_sql_has_a_query_and_the_flagship_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
